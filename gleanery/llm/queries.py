@@ -6,14 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, sharding, tokens
-from gleanery.llm.common import read
+from gleanery.llm import chat, langid, packing, sharding, tokens, toxicity
+from gleanery.llm.common import fold, read
 
 
 def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    out = langid.identify_languages(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = tokens.token_pieces(docs, _vocabulary(), capacity=2048, end_id=0)
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces, capacity=2048)
+
+
+def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
+def op6_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    out = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.lpt_shards(read(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,6 +55,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ppm_language": op1_ppm_language,
+    "op5_slack_packing": op5_slack_packing,
+    "op6_kernel_toxicity": op6_kernel_toxicity,
     "op7_lpt_shards": op7_lpt_shards,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gleanery.llm.common import slices, texts
@@ -105,7 +106,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             frequencies = [Counter(codec.cut(x)) for x in texts(part.column("text"))]
             pieces = codec.learn(set().union(*frequencies))
             n = [sum(k * pieces[word] for word, k in f.items()) for f in frequencies]
-            size = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("key"), size, pa.array(n, pa.int64()), pa.array([x > most for x in n], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
