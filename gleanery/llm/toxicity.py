@@ -39,15 +39,26 @@ _SPELT = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _PLAIN = re.compile("[^a-z]")
 
 
-def units_of(text: str) -> set[str]:
-    """The distinct units of a whole text."""
-    text = _MARKS.sub("", text.lower())
-    words = {w for w in text.split() if len(w) > 1}  # one letter and two edges have no subsequence of four
+def words_of(text: str) -> set[str]:
+    """The distinct words of a whole text, as they stand, and its runs of spelt letters, joined."""
+    text = text.lower()
+    words = set(text.split())
     if _SPELT.search(text):
         words.update("".join(m.split()) for m in _SPELT.findall(text))
     return words
 
 
+def plain(word: str) -> str:
+    """The word without marks; empty if too short for a subsequence of four (two edges count)."""
+    unit = word if word.isalpha() else _MARKS.sub("", word)
+    return unit if len(unit) > 1 else ""
+
+
+def units_of(text: str) -> set[str]:
+    """The distinct units of a whole text."""
+    return {plain(w) for w in words_of(text)} - {""}
+
+
 def _folded(unit: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", unit) if not unicodedata.combining(c)) if _PLAIN.search(unit) else unit
 
@@ -59,13 +70,11 @@ def _windows(unit: str) -> list[str]:
 
 def _symbols(units: list[str]) -> np.ndarray:
     """One row of symbols for each unit, with an edge symbol on both sides; 0 fills up."""
-    width = max(map(len, units)) + 2
-    out = np.zeros((len(units), width), dtype=np.int32)
-    for i, unit in enumerate(units):
-        codes = np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        letter = (codes >= 97) & (codes <= 122)
-        out[i, 1 : len(unit) + 1] = np.where(letter, codes - 96, 28 + codes % 4)
-        out[i, 0] = out[i, len(unit) + 1] = 27
+    codes = np.array(units).view(np.uint32).reshape(len(units), -1).astype(np.int32)
+    out = np.zeros((len(units), codes.shape[1] + 2), dtype=np.int32)
+    out[:, 1:-1] = np.where((codes >= 97) & (codes <= 122), codes - 96, np.where(codes > 0, 28 + codes % 4, 0))
+    out[:, 0] = 27
+    out[np.arange(len(units)), (codes > 0).sum(1) + 1] = 27
     return out
 
 
@@ -92,11 +101,29 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, merged / np.maximum(norm, 1e-12)[:, None]
 
 
+#: Margin of a text without units.
+FLOOR = -2.0
+
+
+def worst_two(margins) -> tuple[float, float]:
+    """The two largest margins, filled up with FLOOR."""
+    first = second = FLOOR
+    for m in margins:
+        if m > first:
+            first, second = m, first
+        elif m > second:
+            second = m
+    return first, second
+
+
 class SubsequenceMachine:
-    """weights: one for each subsequence; a unit's margin is their weighted sum plus bias."""
+    """weights: one for each subsequence; a unit's margin is their weighted sum plus bias.
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    curve: a text's probability is the logistic curve of (its two worst margins, 1) times curve.
+    """
+
+    def __init__(self, weights: np.ndarray, bias: float, curve: tuple[float, float, float] = (4.0, 0.0, 0.0)):
+        self.weights, self.bias, self.curve = weights, bias, np.asarray(curve)
 
     def margins(self, units: list[str]) -> np.ndarray:
         """Margin of each unit; the largest of its windows."""
@@ -112,8 +139,10 @@ class SubsequenceMachine:
             out[rows] = (self.weights[code] * weight).sum(1) + self.bias
         return np.maximum.reduceat(out, np.cumsum([0, *map(len, parts[:-1])]))
 
-    def probability(self, margin):
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def probability(self, worst) -> np.ndarray:
+        """worst: a pair of margins for each text."""
+        pairs = np.asarray(worst, dtype=np.float64).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(pairs @ self.curve[:2] + self.curve[2], -30, 30)))
 
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -136,30 +165,34 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float =
 
 def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3, seed: int = 7) -> SubsequenceMachine:
     """A machine from (text, 0 or 1); without both labels, one that calls nothing toxic."""
-    silent = SubsequenceMachine(np.zeros(SYMBOLS**LENGTH, dtype=np.float32), -1.0, 4.0, 0.0)
+    silent = SubsequenceMachine(np.zeros(SYMBOLS**LENGTH, dtype=np.float32), -1.0)
     bags = [(sorted({w for u in units_of(t) for w in _windows(u)}), y) for t, y in sorted(labelled)]
     toxic, clean = [b for b, y in bags if y and b], [b for b, y in bags if not y]
     if not toxic or not any(clean):
         return silent
     rng = np.random.default_rng(seed)
-    pool = sorted({u for b in clean for u in b})
-    innocent = set(pool)  # a clean text answers for all of its units
-    suspects = [[u for u in bag if u not in innocent] for bag in toxic]
+    rates = [Counter(u for b in part for u in b) for part in (toxic, clean)]
+    # A unit that clean texts have about as often as toxic ones is no witness; one that toxic texts have far more often, no counterexample.
+    suspect = lambda u: rates[0][u] * len(clean) > 8 * rates[1][u] * len(toxic)
+    pool = sorted(u for u in rates[1] if not suspect(u))
+    suspects = [[u for u in bag if suspect(u)] for bag in toxic]
     # First witnesses: the unit with the piece of five symbols that speaks most for the toxic label.
     grams = lambda unit: {f"^{unit}$"[i : i + 5] for i in range(max(1, len(unit) - 2))}
     seen = [Counter(g for b in bag for g in {g for u in b for g in grams(u)}) for bag in (toxic, clean)]
-    odds = lambda g: np.log((seen[0][g] + 0.5) / (len(toxic) + 1)) - np.log((seen[1][g] + 0.5) / (len(clean) + 1)) if seen[0][g] > 1 else 0.0
+    support = 3 + len(toxic) // 100
+    odds = lambda g: np.log((seen[0][g] + 0.5) / (len(toxic) + 1)) - np.log((seen[1][g] + 0.5) / (len(clean) + 1)) if seen[0][g] >= support else 0.0
     known = {u: max(map(odds, grams(u))) for u in sorted({u for b in suspects for u in b})}
-    witness = [max(b, key=known.__getitem__) for b in suspects if b]
-    witness = [u for u in witness if known[u] > 0]
+    # A toxic text answers for every unit that speaks clearly (odds of 6 to 1), or else for its worst one.
+    telling = lambda b, score, least: [u for u in b if score[u] >= least] or [max(b, key=score.__getitem__)]
+    witness = [u for b in suspects if b for u in telling(b, known, np.log(6)) if known[u] > 0]
     if not witness:
         return silent
     negative = [pool[i] for i in rng.permutation(len(pool))[:4000]]
-    machine = silent
+    machine, hard = silent, []
     for _ in range(passes):
         common = [u for u, _ in Counter(witness).most_common()]
         spread = [common[i] for i in np.unique(np.linspace(0, len(common) - 1, min(len(common), landmarks)).astype(int))]
-        marks = common[:landmarks] + [u for u in spread if u not in common[:landmarks]] + [u for u in negative[:landmarks] if u not in common]
+        marks = list(dict.fromkeys(common[:landmarks] + spread + hard + negative[:landmarks]))
         # Only the landmarks' own subsequences matter to a kernel with a landmark.
         code, weight = features(marks)
         used = np.unique(code[weight > 0])
@@ -183,32 +216,37 @@ def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3,
 
         positive = sorted(set(witness))
         weigh = Counter(witness)
-        x = describe(positive + negative)
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        cost = np.concatenate([np.sqrt([weigh[u] for u in positive]), np.ones(len(negative))])
+        # Frequent witnesses also with one letter put in, for less.
+        bent = sorted({u[:i] + chr(97 + int(rng.integers(26))) + u[i:] for u in common[:landmarks] if weigh[u] > 2 for i in range(1, len(u)) for _ in range(2)} - set(pool) - set(positive))
+        x = describe(positive + bent + negative)
+        y = np.concatenate([np.ones(len(positive) + len(bent)), -np.ones(len(negative))])
+        cost = np.concatenate([np.sqrt([weigh[u] for u in positive]), np.full(len(bent), 0.3), np.ones(len(negative))])
         cost[y > 0] *= (y < 0).sum() / cost[y > 0].sum()
         w, bias = _linear_svm(x, y, cost)
         weights = np.zeros(SYMBOLS**LENGTH, dtype=np.float32)
         weights[used] = base @ (root @ w)
-        machine = SubsequenceMachine(weights, float(bias), 4.0, 0.0)
+        machine = SubsequenceMachine(weights, float(bias))
         margin = machine.margins(pool)
-        negative = sorted({*negative, *[pool[i] for i in np.argsort(-margin, kind="stable")[:1000]]})
+        hard = [pool[i] for i in np.argsort(-margin, kind="stable")[:1000]]
+        negative, hard = sorted({*negative, *hard}), hard[:landmarks]
         score = dict(zip(every := sorted(known), machine.margins(every), strict=True))
-        witness = [max(b, key=score.__getitem__) for b in suspects if b]
-    # Probabilities: a logistic curve over the worst margin of each text.
-    score |= dict(zip(pool, machine.margins(pool), strict=True))
-    m = np.asarray([max([score[u] for u in b], default=-2.0) for b in toxic + clean])
+        witness = [u for b in suspects if b for u in telling(b, score, 0.5)]
+    # Probabilities: a logistic curve over the two worst margins of each text.
+    every = sorted({*rates[0], *rates[1]})
+    score = dict(zip(every, machine.margins(every), strict=True))
+    m = np.asarray([[*worst_two(score[u] for u in b), 1.0] for b in toxic + clean])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    half = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean))  # both labels count alike
-    slope, shift = 4.0, 0.0
+    curve, ridge = np.zeros(3), np.array([0.1, 0.1, 0.01])
+    loss = lambda c: np.logaddexp(0, np.where(y > 0, -1, 1) * (m @ c)).sum() + (ridge * c * c).sum() / 2
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * m + shift, -30, 30)))
-        g = np.array([(half * (p - y) * m).sum() + 1e-3 * (slope - 4), (half * (p - y)).sum() + 1e-3 * shift])
-        r = half * np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[(r * m * m).sum() + 1e-3, (r * m).sum()], [(r * m).sum(), r.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        slope, shift = slope - step[0], shift - step[1]
-    machine.slope, machine.shift = float(max(slope, 0.1)), float(shift)
+        p = 1 / (1 + np.exp(-np.clip(m @ curve, -30, 30)))
+        step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + np.diag(ridge), m.T @ (p - y) + ridge * curve)
+        while loss(curve - step) > loss(curve) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        curve = curve - step
+        if np.abs(step).max() < 1e-9:
+            break
+    machine.curve = curve
     return machine
 
 
@@ -232,7 +270,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
     """Scores every whole text; learns from the labelled rows for which ``learn_from`` holds.
 
     Returns key, score (0 to 1), predicted (1 if score >= threshold), one row for each input row.
-    A null text counts as empty; a text without units gets the score of margin -2. If one of the
+    A null text counts as empty; a text without units has the margin FLOOR. If one of the
     labels is missing, no text is called toxic. A key labelled twice counts as toxic if any label
     says so. sample_rows: expected number of labelled texts of each label learned from.
     """
@@ -247,13 +285,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
             _MACHINES[name] = (shared.value, {})
         m, known = _MACHINES[name]
         for part in slices(batches, "text", 2 << 20):
-            bags = [units_of(x) for x in texts(part.column("text"))]
+            bags = [words_of(x) for x in texts(part.column("text"))]
             if len(known) > _KEPT:
                 known.clear()
-            new = [u for u in set().union(*bags) if u not in known]
-            known.update(zip(new, m.margins(new).tolist(), strict=True))
-            margin = np.asarray([max(map(known.__getitem__, b), default=-2.0) for b in bags])
-            p = m.probability(margin)
+            new = [w for w in set().union(*bags) if w not in known]
+            known.update(dict.fromkeys(new, FLOOR))
+            new = [(w, u) for w in new if (u := plain(w))]
+            known.update(zip([w for w, _ in new], m.margins([u for _, u in new]).tolist(), strict=True))
+            # Two spellings of one unit in a text are one unit twice, as in two places.
+            p = m.probability([worst_two(map(known.__getitem__, b)) for b in bags])
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["key", "score", "predicted"])
 
     kind = docs.schema[key].dataType.simpleString()
