@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, langid, packing, sharding, tokens, toxicity
+from gleanery.llm import chat, langid, minhash, packing, sharding, tokens, toxicity
 from gleanery.llm.common import fold, read
 
 
@@ -21,6 +21,10 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = tokens.token_pieces(docs, _vocabulary(), capacity=2048, end_id=0)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -56,6 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ppm_language": op1_ppm_language,
+    "op3_minhash_groups": op3_minhash_groups,
     "op5_slack_packing": op5_slack_packing,
     "op6_kernel_toxicity": op6_kernel_toxicity,
     "op7_lpt_shards": op7_lpt_shards,
