@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, langid, minhash, packing, sharding, tokens, toxicity
+from gleanery.llm import chat, langid, linededup, minhash, packing, sharding, tokens, toxicity
 from gleanery.llm.common import fold, read
 
 
@@ -47,6 +47,11 @@ def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "emptied")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), _vocabulary(), most=2048)
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_slack_packing": op5_slack_packing,
     "op6_kernel_toxicity": op6_kernel_toxicity,
     "op7_lpt_shards": op7_lpt_shards,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
 }
