@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, langid, linededup, minhash, packing, sharding, tokens, toxicity
+from gleanery.llm import chat, decontam, itq, langid, linededup, minhash, packing, sharding, tokens, toxicity
 from gleanery.llm.common import fold, read
 
 
@@ -21,10 +21,18 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_itq_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(read(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = tokens.token_pieces(docs, _vocabulary(), capacity=2048, end_id=0)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -65,7 +73,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ppm_language": op1_ppm_language,
+    "op2_pigeonhole_matches": op2_pigeonhole_matches,
     "op3_minhash_groups": op3_minhash_groups,
+    "op4_itq_groups": op4_itq_groups,
     "op5_slack_packing": op5_slack_packing,
     "op6_kernel_toxicity": op6_kernel_toxicity,
     "op7_lpt_shards": op7_lpt_shards,
