@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,6 +121,23 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> lis
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
+def _searches(benchmark: DataFrame, item: str, text: str, rate: float, block_bytes: int) -> Iterator[Callable[[], ItemSearch]]:
+    """For each block of items, a function that gives its automaton on a worker, built once there."""
+    sc = benchmark.sparkSession.sparkContext
+    for block in _blocks(benchmark, item, text, block_bytes):
+        items = sorted({(r["item"], p) for r in block.collect() if (p := plain(r["text"]))})  # bounded by block_bytes
+        name = hashlib.md5(repr((items, rate)).encode("utf-8", "replace")).hexdigest()
+
+        def search(shared=sc.broadcast(items), name=name) -> ItemSearch:
+            if name not in _SEARCHES:
+                if len(_SEARCHES) > 1:
+                    _SEARCHES.clear()
+                _SEARCHES[name] = ItemSearch(shared.value, rate)
+            return _SEARCHES[name]
+
+        yield search
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, item, distance): every item that a document holds within floor(rate * length) edits, once.
 
@@ -129,25 +146,18 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     documents repeated under one key give one row for each repetition. Each pass over the documents
     sends a block of at most about ``block_bytes`` of items to the workers.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = spark.createDataFrame([], f"`{key}` long, `{item}` long, distance int")
-    for block in _blocks(benchmark, item, item_text, block_bytes):
-        items = sorted({(r["item"], p) for r in block.collect() if (p := plain(r["text"]))})  # bounded by block_bytes
-        shared = spark.sparkContext.broadcast(items)
-        name = hashlib.md5(repr((items, rate)).encode("utf-8", "replace")).hexdigest()
+    out = docs.sparkSession.createDataFrame([], f"`{key}` long, `{item}` long, distance int")
+    for search in _searches(benchmark, item, item_text, rate, block_bytes):
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            if name not in _SEARCHES:
-                _SEARCHES.clear()
-                _SEARCHES[name] = ItemSearch(shared.value, rate)
-            search = _SEARCHES[name]
+        def find(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            items = search()
             for part in slices(batches, "text"):
                 found = []
                 for k, t in zip(part.column("key").to_pylist(), texts(part.column("text")), strict=True):
                     best: dict[int, int] = {}
-                    for i, distance in search.search(plain(t)).items():
-                        one = search.items[i][0]
+                    for i, distance in items.search(plain(t)).items():
+                        one = items.items[i][0]
                         best[one] = min(distance, best.get(one, distance))
                     found += [(k, i, d) for i, d in best.items()]
                 columns = list(zip(*found, strict=True)) or [[], [], []]
@@ -155,3 +165,16 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
         out = out.unionByName(rows.mapInArrow(find, f"`{key}` long, `{item}` long, distance int"))
     return out
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that hold no item within its errors, all columns as they are; nothing is shuffled or joined."""
+    for search in _searches(benchmark, item, item_text, rate, block_bytes):
+
+        def keep(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            items = search()
+            for part in slices(batches, text):
+                yield part.filter(pa.array([not items.search(plain(t)) for t in texts(part.column(text))], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -105,10 +105,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(full, "key long, hashes array<long>")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key is in ids: by broadcast where ids are few, else by a shuffled join."""
+def with_ids(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose key is (or with left_anti is not) in ids: by broadcast where ids are few, else by a shuffled join."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:

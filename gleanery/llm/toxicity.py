@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm.common import slices, texts
 
@@ -266,13 +267,14 @@ _MACHINES: dict[str, tuple[SubsequenceMachine, dict[str, float]]] = {}
 _KEPT = 300_000
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, sample_rows: int = 1000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, sample_rows: int = 1000, carry: bool = False) -> DataFrame:
     """Scores every whole text; learns from the labelled rows for which ``learn_from`` holds.
 
     Returns key, score (0 to 1), predicted (1 if score >= threshold), one row for each input row.
     A null text counts as empty; a text without units has the margin FLOOR. If one of the
     labels is missing, no text is called toxic. A key labelled twice counts as toxic if any label
-    says so. sample_rows: expected number of labelled texts of each label learned from.
+    says so. carry: all columns of docs are returned too, before the others; score and predicted must
+    not be among them. sample_rows: expected number of labelled texts of each label learned from.
     """
     spark = docs.sparkSession
     machine = train(sample_labelled(docs, labels, learn_from, key, text, label, sample_rows))
@@ -284,8 +286,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
             _MACHINES.clear()
             _MACHINES[name] = (shared.value, {})
         m, known = _MACHINES[name]
-        for part in slices(batches, "text", 2 << 20):
-            bags = [words_of(x) for x in texts(part.column("text"))]
+        for part in slices(batches, "_scored", 2 << 20):
+            bags = [words_of(x) for x in texts(part.column("_scored"))]
             if len(known) > _KEPT:
                 known.clear()
             new = [w for w in set().union(*bags) if w not in known]
@@ -294,8 +296,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
             known.update(zip([w for w, _ in new], m.margins([u for _, u in new]).tolist(), strict=True))
             # Two spellings of one unit in a text are one unit twice, as in two places.
             p = m.probability([worst_two(map(known.__getitem__, b)) for b in bags])
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["key", "score", "predicted"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(score, f"key {kind}, score double, predicted int")
-    return out.withColumnRenamed("key", key)
+            ends = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(kept)], *ends], [*part.schema.names[:kept], "score", "predicted"])
+
+    columns = docs.columns if carry else [key]
+    kept = len(columns)
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_scored"))
+    return rows.mapInArrow(score, schema)
