@@ -9,8 +9,9 @@ The union's sketch, made from two sketches, estimates the similarity of a candid
 pairs that pass are confirmed on the full sets.
 
 Lists can be long where many documents are near copies, so pairs within a list are not all made:
-first every list links its documents to its smallest one; links found are joined to components,
-and only documents of different components in one list are still compared.
+first every document is compared with the most central one of its lists; links found are joined to
+components; and then documents of different components in one list are compared, but for those
+that have too many shingles to themselves to be linked with anything.
 """
 
 from __future__ import annotations
@@ -138,6 +139,27 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int
     return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
 
 
+def _open_pairs(lists: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents that share a list, are in different components, and may still be linked.
+
+    Shingles that no other document of such lists has cannot be shared, so with ``alone`` of them in
+    each set the intersection is at most the smaller rest; pairs for which that is too little are out.
+    """
+    placed = lists.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("value")
+    placed = cut(placed.join(mixed, "value", "left_semi").select("value", "key", "n", "component"))
+    ids = placed.select("key").distinct()
+    single = full_sets(with_ids(docs, ids, "key")).select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
+    alone = single.groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
+    able = placed.join(alone, "key", "left").withColumn("left", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("left") * 100 >= F.col("n") * percent)
+    able = cut(able.select("value", "key", "n", "component", "left"))
+    x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"))
+    y = able.select("value", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"))
+    most = F.least("la", "lb")
+    fits = most * 100 >= (F.col("na") + F.col("nb") - most) * percent
+    return x.join(y, "value").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH) -> DataFrame:
     """Classes of documents linked by 100 * |intersection| >= percent * |union| of their shingle sets.
 
@@ -153,19 +175,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     heads = cut(sets.groupBy("d1", "d2", "n_shingles").agg(F.min("key").alias("key"), F.min_by("sketch", "key").alias("sketch")))
     values = F.transform(F.sequence(F.lit(1), F.size("sketch") - RUN + 1), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(RUN)]))
     lists = heads.where(F.size("sketch") >= RUN).select("key", F.col("n_shingles").alias("n"), F.explode(F.array_distinct(values)).alias("value"))
-    lists = cut(lists)
-    # First pass: each list's documents with its smallest one.
-    first = lists.groupBy("value").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("value", F.col("first.key").alias("a"), F.col("first.n").alias("na"))
-    stars = lists.join(first, "value").where((F.col("key") != F.col("a")) & _near(F.col("n"), F.col("na"), percent)).select("a", F.col("key").alias("b")).distinct()
+    # First pass: each document with the most central one of its lists, that is the one in most shared lists.
+    shared = lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value"), "value", "left_semi")
+    shared = cut(shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("degree")), "key"))
+    centre = shared.groupBy("value").agg(F.max(F.struct("degree", (-F.col("key")).alias("key"), "n")).alias("c")).select("value", (-F.col("c.key")).alias("a"), F.col("c.n").alias("na"), F.col("c.degree").alias("da"))
+    stars = shared.join(centre, "value").where((F.col("key") != F.col("a")) & _near(F.col("n"), F.col("na"), percent))
+    stars = stars.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("da", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     links = cut(_confirmed(stars, heads, docs, percent, k))
     parts = connected_components(links)
-    # Second pass: documents of one list that are not in one component yet.
-    placed = lists.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("value")
-    placed = cut(placed.join(mixed, "value", "left_semi"))
-    x = placed.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.select("value", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "value").where((F.col("ca") < F.col("cb")) & _near(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    # Second pass: documents of one list that are not in one component yet, unless what they have alone forbids a link.
+    rest = _open_pairs(shared, parts, docs, percent)
     parts = connected_components(links.unionByName(_confirmed(rest, heads, docs, percent, k)))
     # Every set's component, and then every row's.
     whole = heads.select("d1", "d2", "n_shingles", "key").join(parts.withColumnRenamed("id", "key"), "key", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "key").alias("component"))
