@@ -10,8 +10,9 @@ line emits hashed keys of its masked and of its shortened variants; equal keys m
 aggregation that keeps the earliest line, so that long groups cost no pairs; the few (line,
 earliest) pairs are verified by edit distance on the texts.
 
-Only lines that can have a partner emit variants: lines within one edit have the first half or the
-second half of the shorter line in common, so lines whose four half keys meet no other line are out.
+Variants are made only where a partner can be: lines within one edit agree outside the block of the
+line with the edit. Lines that agree with no other line outside either half are out; the others
+are compared in sixteen blocks, and varied only in blocks outside which they agree with another.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from gleanery.llm.common import cut, mix64, slices, texts
 #: Rows of a side that may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 300_000
 
+#: Blocks of a candidate line; variants are made only in those where an edit can be.
+BLOCKS = 16
+
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -42,31 +46,51 @@ def line_id(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _half(tag: str, n: int, part: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{tag}{n}:{part}".encode("utf-8", "replace")) - (1 << 63)
+def _block(n: int, j: int, before: str, after: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{n}:{j}:{len(before)}:{before}{after}".encode("utf-8", "replace")) - (1 << 63)
+
+
+def cuts(n: int, blocks: int) -> list[int]:
+    return [n * j // blocks for j in range(blocks + 1)]
 
 
-def half_keys(line: str) -> list[int]:
-    """Keys of both halves, with the line as the shorter or the longer (by one) of a pair."""
-    n = len(line)
-    shorter = [_half("p", n, line[: n // 2]), _half("s", n, line[n // 2 :])]
-    m = n - 1
-    return [*shorter, _half("p", m, line[: m // 2]), _half("s", m, line[n - (m - m // 2) :])]
+def block_keys(line: str, blocks: int) -> list[int]:
+    """For each block of the line, a key of all that is outside it.
+
+    First with the line as the shorter of a pair (or of equal length), then as the longer by one;
+    blocks are cut by the shorter's length. Lines within one edit agree outside the block with the edit.
+    """
+    size = len(line)
+    out = []
+    for n in (size, size - 1):
+        c = cuts(n, blocks)
+        out += [_block(n, j, line[: c[j]], line[size - (n - c[j + 1]) :]) for j in range(blocks)]
+    return out
+
 
+def variant_keys(line: str, places: list[int], blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed keys and their kinds: 0 the line itself, 1 with one character deleted, 2 with one masked.
 
-def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed keys and their kinds: 0 the line itself, 1 with one character deleted, 2 with one masked."""
+    places: indexes into the line's block_keys; only their blocks are varied.
+    """
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = len(codes)
+    mask, delete = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    same, longer = cuts(n, blocks), cuts(n - 1, blocks)
+    for place in places:
+        j = place % blocks
+        if place < blocks:
+            mask[same[j] : same[j + 1]] = True
+        else:
+            delete[longer[j] : longer[j + 1] + 1] = True
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _ODD, dtype=np.uint64)]), dtype=np.uint64)
     terms = mix64((codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * powers[:n]
     before = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-    total, rest = before[-1:], before[-1:] - before[1:]
-    own = mix64(total + np.uint64(n))
-    deleted = mix64(before[:-1] + rest * _INVERSE + np.uint64(n - 1) if n else rest)
+    rest = before[-1:] - before[1:]
+    own = mix64(before[-1:] + np.uint64(n))
     # Deleting either of two equal neighbours gives one variant.
-    deleted = np.unique(deleted)
-    masked = mix64(mix64(before[:-1] + rest) + (np.arange(n, dtype=np.uint64) << np.uint64(32)) + np.uint64(n) + np.uint64(1 << 63))
+    deleted = np.unique(mix64(before[:-1][delete] + rest[delete] * _INVERSE + np.uint64(n - 1)))
+    masked = mix64(mix64(before[:-1] + rest) + (np.arange(n, dtype=np.uint64) << np.uint64(32)) + np.uint64(n) + np.uint64(1 << 63))[mask]
     keys = np.concatenate([own, deleted, masked]).view(np.int64)
     return keys, np.repeat(np.asarray([0, 1, 2], dtype=np.int8), [1, len(deleted), len(masked)])
 
@@ -75,6 +99,12 @@ def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+def _meeting(keys: DataFrame) -> DataFrame:
+    """The rows of keys (id, block, ...) whose block another id has too."""
+    shared = cut(keys.groupBy("block").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("block"))
+    return _semi(keys, shared, "block")
+
+
 def _semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if _few(ids) else ids, on, "left_semi")
 
@@ -106,25 +136,34 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     the first counts. Null and empty texts have no lines. Other columns are ignored.
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    # What each line is, where it stands, and its half keys.
-    rows = cut(_lines(docs, min_words, "id long, halves array<long>", lambda line: (line_id(line), half_keys(line))))
+    # What each line is, where it stands, and its keys of halves.
+    rows = cut(_lines(docs, min_words, "id long, halves array<long>", lambda line: (line_id(line), block_keys(line, 2))))
     at = F.struct("key", "line")
     firsts = cut(rows.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
-    # Lines that share a half with another line.
-    halves = rows.select("id", F.explode("halves").alias("half"))
-    shared = cut(halves.groupBy("half").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("half"))
-    candidates = cut(_semi(halves, shared, "half").select("id").distinct())
+    # Lines that agree with another one outside a half.
+    halves = rows.select("id", F.explode("halves").alias("block"))
+    candidates = cut(_meeting(halves).select("id").distinct())
     bodies = _semi(_lines(docs, min_words, "id long, body string", lambda line: (line_id(line), line)), candidates, "id")
     bodies = cut(bodies.groupBy("id").agg(F.first("body").alias("body")).join(firsts.select("id", "first"), "id"))
 
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [block_keys(x, BLOCKS) for x in texts(batch.column("body"))]
+            again = pa.array(np.repeat(np.arange(batch.num_rows), 2 * BLOCKS))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(again), pa.array(np.tile(np.arange(2 * BLOCKS), batch.num_rows), pa.int32()), pa.array([k for ks in keys for k in ks], pa.int64())], ["id", "place", "block"])
+
+    # Of those, the blocks outside which they agree with another one: only there can the edit be.
+    blocks = cut(bodies.select("id", "body").mapInArrow(finer, "id long, place int, block long"))
+    places = _meeting(blocks).groupBy("id").agg(F.collect_set("place").alias("places"))
+    varied = bodies.join(places, "id")
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "body", 1 << 16):
-            keys, kinds = zip(*map(variant_keys, texts(part.column("body"))), strict=True)
-            sizes = [len(k) for k in keys]
-            again = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(kinds)), part.column("id").take(again), part.column("first").take(again)], ["variant", "kind", "id", "first"])
+        for part in slices(batches, "body", 1 << 18):
+            each = [variant_keys(x, p, BLOCKS) for x, p in zip(texts(part.column("body")), part.column("places").to_pylist(), strict=True)]
+            again = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k, _ in each]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in each])), pa.array(np.concatenate([x for _, x in each])), part.column("id").take(again), part.column("first").take(again)], ["variant", "kind", "id", "first"])
 
-    variants = bodies.select("body", "id", "first").mapInArrow(emit, "variant long, kind byte, id long, first struct<key: long, line: int>")
+    variants = varied.select("body", "places", "id", "first").mapInArrow(emit, "variant long, kind byte, id long, first struct<key: long, line: int>")
     own = F.when(F.col("kind") == 0, F.col("first"))
     other = F.when(F.col("kind") > 0, F.col("first"))
     # The earliest line of each kind; only keys that different lines share.
