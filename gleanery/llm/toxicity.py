@@ -130,6 +130,8 @@ class SubsequenceMachine:
         """Margin of each unit; the largest of its windows."""
         if not units:
             return np.zeros(0)
+        if len(units) > 20_000:  # bounds what is held at once
+            return np.concatenate([self.margins(units[i : i + 20_000]) for i in range(0, len(units), 20_000)])
         parts = [_windows(u) for u in units]
         flat = [w for p in parts for w in p]
         out = np.empty(len(flat))
@@ -207,8 +209,8 @@ def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3,
 
         def describe(units: list[str], column=column, base=base, root=root) -> np.ndarray:
             kernel = np.zeros((len(units), base.shape[1]))
-            for begin in range(0, len(units), 2048):
-                code, weight = features(units[begin : begin + 2048])
+            for begin in range(0, len(units), 256):
+                code, weight = features(units[begin : begin + 256])
                 at, pos = np.nonzero((weight > 0) & (column[code] >= 0))
                 rows, starts = np.unique(at, return_index=True)
                 if len(rows):
