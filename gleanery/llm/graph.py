@@ -12,10 +12,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, component) of every id that has a link to another: component is the smallest id reachable.
 
     In each round every vertex takes the smallest vertex next to it as its parent (parents are
-    smaller, so this is a forest), takes its parent's parent, and the links are moved to the
-    parents; links within one vertex and repeated links go. At least half of the vertices that
-    still have links are merged in each round, so the rounds are logarithmic. Every round's two
-    tables are cut into the checkpoint folder. Nulls and self-links are ignored.
+    smaller, so this is a forest); parents are doubled until each is a root, and the links are moved
+    to the roots; links within one root and repeated links go. A tree has two vertices at least, so
+    each round at least halves the vertices that still have links: both loops are logarithmic.
+    Every table is cut into the checkpoint folder. Nulls and self-links are ignored.
     """
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -23,9 +23,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = ids.withColumn("component", F.col("id"))
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
-        parent = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("p"))
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        parent = cut(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
+        parent = cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("p")))
+        while True:
+            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            doubled = cut(parent.join(up, "p").select("v", F.col("p").alias("was"), F.col("pp").alias("p")))
+            parent = doubled.select("v", "p")
+            if doubled.where("was <> p").isEmpty():
+                break
         left = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         right = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
