@@ -183,14 +183,20 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """All columns of docs, the text without its repeated lines, and n_lines, n_removed and emptied.
 
-    emptied: lines were removed and none of the rest has anything but white space.
+    emptied: lines were removed and none of the rest has anything but white space. Columns of docs
+    may have any names but those three.
     """
-    gone = repeated_lines(docs, key, text, min_words).withColumnRenamed("lines", "_gone")
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce(F.col("_gone"), F.array().cast("array<int>")), i))
-    rows = docs.join(gone, key, "left")
-    changed = F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
-    rows = rows.withColumn("n_lines", F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0))).withColumn("_changed", changed)
-    rows = rows.withColumn("emptied", F.col("_gone").isNotNull() & ~F.col("_changed").rlike(r"\S"))
-    others = [f"`{c}`" if c != text else F.col("_changed").alias(text) for c in docs.columns]
-    return rows.select(*others, "n_lines", "n_removed", "emptied")
+    gone = repeated_lines(docs, key, text, min_words).select(F.col(f"`{key}`").alias("_key"), F.col("lines").alias("_gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = rows.join(gone, rows["_doc"].getField(key).cast("long") == gone["_key"], "left")
+    body = F.col("_doc").getField(text)
+    lines = F.split(body, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNull(), body).otherwise(kept))
+    columns = [F.col("_kept").alias(c) if c == text else F.col("_doc").getField(c).alias(c) for c in docs.columns]
+    return rows.select(
+        *columns,
+        F.when(body.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
+        (F.col("_gone").isNotNull() & ~F.col("_kept").rlike(r"\S")).alias("emptied"),
+    )

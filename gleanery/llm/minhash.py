@@ -61,7 +61,7 @@ def shingle_sets(values: list[str], words: int = WORDS) -> list[np.ndarray]:
     count = np.diff(np.searchsorted(starts, offsets))
     bounds = np.concatenate([[0], np.cumsum(count)])
     full = np.zeros(len(word), dtype=np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(word))):
         full[: len(word) - k] = mix64(full[: len(word) - k] + word[k:] * np.uint64(2 * k + 1) + np.uint64(k))
     out = []
     for i, n in enumerate(count):
