@@ -10,8 +10,9 @@ pairs that pass are confirmed on the full sets.
 
 Lists can be long where many documents are near copies, so pairs within a list are not all made:
 first every document is compared with the most central one of its lists; links found are joined to
-components; and then documents of different components in one list are compared, but for those
-that have too many shingles to themselves to be linked with anything.
+components. Documents that have too many shingles to themselves can be linked with nothing and are
+out; the others are compared with the one of their lists that has the fewest to itself, and then
+with all documents of their lists that are still in a different component and may be linked.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from gleanery.llm.graph import connected_components
 WORDS = 5
 SKETCH = 36
 RUN = 3
+#: Bytes of text that are hashed at once; the arrays of a slice take some fifty times as much.
+SLICE = 1 << 20
 #: Ids that are broadcast to filter documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -87,7 +90,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     """key, n_shingles, the set's digest (d1, d2; null for an empty set) and the sketch, of documents (key, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(texts(part.column("text")))
             d1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
             d2 = [int(np.bitwise_xor.reduce(mix64(s + _ODD)).view(np.int64)) if len(s) else None for s in sets]
@@ -100,7 +103,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """key and the whole set, of documents (key, text)."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([part.column("key"), _lists(shingle_sets(texts(part.column("text"))))], ["key", "hashes"])
 
     return docs.mapInArrow(full, "key long, hashes array<long>")
@@ -132,32 +135,56 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int
     side = lambda x: heads.select(F.col("key").alias(x), F.col("sketch").alias(f"s{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("sa"), F.col("sb"), k) >= 0.5).select("a", "b")
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
     sets = full_sets(with_ids(docs, ids, "key"))
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"key": "b", "hashes": "hb"}), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
 
 
-def _open_pairs(lists: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a list, are in different components, and may still be linked.
-
-    Shingles that no other document of such lists has cannot be shared, so with ``alone`` of them in
-    each set the intersection is at most the smaller rest; pairs for which that is too little are out.
-    """
+def _placed(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of lists (value, key, ...) with their component, of lists that have more than one."""
     placed = lists.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("value")
-    placed = cut(placed.join(mixed, "value", "left_semi").select("value", "key", "n", "component"))
+    return placed.join(mixed, "value", "left_semi")
+
+
+def _linkable(lists: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(value, key, n, left) of mixed lists: left is the number of shingles that another document of such lists has.
+
+    No other shingle can be shared, so documents with too few of them can be linked with nothing.
+    """
+    placed = cut(_placed(lists, parts).select("value", "key", "n"))
     ids = placed.select("key").distinct()
     single = full_sets(with_ids(docs, ids, "key")).select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
     alone = single.groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
     able = placed.join(alone, "key", "left").withColumn("left", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("left") * 100 >= F.col("n") * percent)
-    able = cut(able.select("value", "key", "n", "component", "left"))
+    return cut(able.select("value", "key", "n", "left"))
+
+
+def _fits(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
+    """Whether two sets of sizes na and nb may be linked if at most la and lb of them can be shared."""
+    most = F.least(la, lb)
+    return most * 100 >= (F.col(na) + F.col(nb) - most) * percent
+
+
+def _with_centre(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each document with the one of its lists that has the largest part in common with others."""
+    placed = _placed(lists, parts)
+    share = F.col("left") / F.col("n")
+    centre = placed.groupBy("value").agg(F.max(F.struct(share.alias("share"), (-F.col("key")).alias("key"), "n", "left", "component")).alias("c"))
+    centre = centre.select("value", F.col("c.share").alias("share"), (-F.col("c.key")).alias("a"), F.col("c.n").alias("na"), F.col("c.left").alias("la"), F.col("c.component").alias("ca"))
+    met = placed.join(centre, "value").where((F.col("component") != F.col("ca")) & _fits("n", "na", "left", "la", percent))
+    best = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best"))
+    return best.select((-F.col("best.a")).alias("a"), "b")
+
+
+def _open_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents that share a list, are in different components, and may be linked."""
+    able = cut(_placed(lists, parts).select("value", "key", "n", "left", "component"))
     x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"))
     y = able.select("value", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"))
-    most = F.least("la", "lb")
-    fits = most * 100 >= (F.col("na") + F.col("nb") - most) * percent
-    return x.join(y, "value").where((F.col("ca") < F.col("cb")) & fits).select("a", "b").distinct()
+    return x.join(y, "value").where((F.col("ca") < F.col("cb")) & _fits("na", "nb", "la", "lb", percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH) -> DataFrame:
@@ -183,9 +210,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = stars.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("da", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     links = cut(_confirmed(stars, heads, docs, percent, k))
     parts = connected_components(links)
-    # Second pass: documents of one list that are not in one component yet, unless what they have alone forbids a link.
-    rest = _open_pairs(shared, parts, docs, percent)
-    parts = connected_components(links.unionByName(_confirmed(rest, heads, docs, percent, k)))
+    # Second pass, without documents that have too many shingles to themselves: again with the centre of a list.
+    able = _linkable(shared, parts, docs, percent)
+    links = cut(links.unionByName(_confirmed(_with_centre(able, parts, percent), heads, docs, percent, k)))
+    parts = connected_components(links)
+    # Third pass: all that is left in one list and different components.
+    parts = connected_components(links.unionByName(_confirmed(_open_pairs(able, parts, percent), heads, docs, percent, k)))
     # Every set's component, and then every row's.
     whole = heads.select("d1", "d2", "n_shingles", "key").join(parts.withColumnRenamed("id", "key"), "key", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "key").alias("component"))
     out = rows.drop("sketch").join(whole, ["d1", "d2", "n_shingles"], "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
