@@ -266,7 +266,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
 
 _MACHINES: dict[str, tuple[SubsequenceMachine, dict[str, float]]] = {}
 #: Units whose margins a Python worker keeps.
-_KEPT = 300_000
+_KEPT = 100_000
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, sample_rows: int = 1000, carry: bool = False) -> DataFrame:
