@@ -288,8 +288,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
             _MACHINES.clear()
             _MACHINES[name] = (shared.value, {})
         m, known = _MACHINES[name]
-        for part in slices(batches, "_scored", 2 << 20):
-            bags = [words_of(x) for x in texts(part.column("_scored"))]
+        for part in slices(batches, scored, 1 << 20):
+            bags = [words_of(x) for x in texts(part.column(scored))]
             if len(known) > _KEPT:
                 known.clear()
             new = [w for w in set().union(*bags) if w not in known]
@@ -304,5 +304,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
     columns = docs.columns if carry else [key]
     kept = len(columns)
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_scored"))
+    scored = text if carry else "_scored"
+    rows = docs if carry else docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_scored"))
     return rows.mapInArrow(score, schema)
