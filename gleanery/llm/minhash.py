@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import cut, joined_bytes, mix64, slices, texts
-from gleanery.llm.graph import connected_components
+from gleanery.llm.graph import add_links, connected_components
 
 WORDS = 5
 SKETCH = 36
@@ -180,11 +180,17 @@ def _with_centre(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a list, are in different components, and may be linked."""
+    """Pairs (a, b) of documents that share a list, are in different components, and may be linked.
+
+    A pair is made in the first list (by value) that both are in, so once; a document is in SKETCH lists at most.
+    """
     able = cut(_placed(lists, parts).select("value", "key", "n", "left", "component"))
-    x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"))
-    y = able.select("value", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"))
-    return x.join(y, "value").where((F.col("ca") < F.col("cb")) & _fits("na", "nb", "la", "lb", percent)).select("a", "b").distinct()
+    able = able.join(able.groupBy("key").agg(F.collect_set("value").alias("all")), "key")
+    x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"), F.col("all").alias("va"))
+    y = able.select(F.col("value").alias("same"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"), F.col("all").alias("vb"))
+    open_ = (F.col("ca") < F.col("cb")) & _fits("na", "nb", "la", "lb", percent)
+    first = F.array_min(F.array_intersect("va", "vb")) == F.col("value")
+    return x.join(y, (F.col("value") == F.col("same")) & open_ & first).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH) -> DataFrame:
@@ -208,14 +214,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     centre = shared.groupBy("value").agg(F.max(F.struct("degree", (-F.col("key")).alias("key"), "n")).alias("c")).select("value", (-F.col("c.key")).alias("a"), F.col("c.n").alias("na"), F.col("c.degree").alias("da"))
     stars = shared.join(centre, "value").where((F.col("key") != F.col("a")) & _near(F.col("n"), F.col("na"), percent))
     stars = stars.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("da", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    links = cut(_confirmed(stars, heads, docs, percent, k))
-    parts = connected_components(links)
+    parts = connected_components(_confirmed(stars, heads, docs, percent, k))
     # Second pass, without documents that have too many shingles to themselves: again with the centre of a list.
     able = _linkable(shared, parts, docs, percent)
-    links = cut(links.unionByName(_confirmed(_with_centre(able, parts, percent), heads, docs, percent, k)))
-    parts = connected_components(links)
+    parts = add_links(parts, _confirmed(_with_centre(able, parts, percent), heads, docs, percent, k))
     # Third pass: all that is left in one list and different components.
-    parts = connected_components(links.unionByName(_confirmed(_open_pairs(able, parts, percent), heads, docs, percent, k)))
+    parts = add_links(parts, _confirmed(_open_pairs(able, parts, percent), heads, docs, percent, k))
     # Every set's component, and then every row's.
     whole = heads.select("d1", "d2", "n_shingles", "key").join(parts.withColumnRenamed("id", "key"), "key", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "key").alias("component"))
     out = rows.drop("sketch").join(whole, ["d1", "d2", "n_shingles"], "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
