@@ -30,6 +30,8 @@ from gleanery.llm.graph import add_links, connected_components
 WORDS = 5
 SKETCH = 36
 RUN = 3
+#: Estimate from which a pair is confirmed; six deviations below a similarity of 0.85.
+PASS = 0.5
 #: Bytes of text that are hashed at once; the arrays of a slice take some fifty times as much.
 SLICE = 1 << 20
 #: Ids that are broadcast to filter documents; more are joined by a shuffle.
@@ -130,10 +132,14 @@ def _unsigned(x: Column) -> Column:
     return F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
 
 
-def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of pairs (a, b), those whose estimate and then whose full sets reach the similarity."""
+def _estimated(pairs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """Of pairs (a, b), those whose estimate is high enough to be confirmed."""
     side = lambda x: heads.select(F.col("key").alias(x), F.col("sketch").alias(f"s{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("sa"), F.col("sb"), k) >= 0.5).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("sa"), F.col("sb"), k) >= PASS).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets reach the similarity."""
     pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
     sets = full_sets(with_ids(docs, ids, "key"))
@@ -179,18 +185,20 @@ def _with_centre(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("best.a")).alias("a"), "b")
 
 
-def _open_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a list, are in different components, and may be linked.
+def _open_pairs(lists: DataFrame, parts: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) of documents that share a list, are in different components, may be linked, and have a high estimate.
 
     A pair is made in the first list (by value) that both are in, so once; a document is in SKETCH lists at most.
     """
     able = cut(_placed(lists, parts).select("value", "key", "n", "left", "component"))
-    able = able.join(able.groupBy("key").agg(F.collect_set("value").alias("all")), "key")
-    x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"), F.col("all").alias("va"))
-    y = able.select(F.col("value").alias("same"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"), F.col("all").alias("vb"))
-    open_ = (F.col("ca") < F.col("cb")) & _fits("na", "nb", "la", "lb", percent)
+    whole = able.groupBy("key").agg(F.collect_set("value").alias("all")).join(heads.select("key", "sketch"), "key")
+    able = able.join(whole, "key")
+    x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"), F.col("all").alias("va"), F.col("sketch").alias("sa"))
+    y = able.select(F.col("value").alias("same"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"), F.col("all").alias("vb"), F.col("sketch").alias("sb"))
+    apart = (F.col("ca") < F.col("cb")) & _fits("na", "nb", "la", "lb", percent)
     first = F.array_min(F.array_intersect("va", "vb")) == F.col("value")
-    return x.join(y, (F.col("value") == F.col("same")) & open_ & first).select("a", "b")
+    near = _estimate(F.col("sa"), F.col("sb"), k) >= PASS
+    return x.join(y, (F.col("value") == F.col("same")) & apart & first & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH) -> DataFrame:
@@ -214,12 +222,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     centre = shared.groupBy("value").agg(F.max(F.struct("degree", (-F.col("key")).alias("key"), "n")).alias("c")).select("value", (-F.col("c.key")).alias("a"), F.col("c.n").alias("na"), F.col("c.degree").alias("da"))
     stars = shared.join(centre, "value").where((F.col("key") != F.col("a")) & _near(F.col("n"), F.col("na"), percent))
     stars = stars.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("da", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    parts = connected_components(_confirmed(stars, heads, docs, percent, k))
+    parts = connected_components(_confirmed(_estimated(stars, heads, k), docs, percent))
     # Second pass, without documents that have too many shingles to themselves: again with the centre of a list.
     able = _linkable(shared, parts, docs, percent)
-    parts = add_links(parts, _confirmed(_with_centre(able, parts, percent), heads, docs, percent, k))
-    # Third pass: all that is left in one list and different components.
-    parts = add_links(parts, _confirmed(_open_pairs(able, parts, percent), heads, docs, percent, k))
+    parts = add_links(parts, _confirmed(_estimated(_with_centre(able, parts, percent), heads, k), docs, percent))
+    # Third pass: all that is left in one list and different components. Shingles shared only with documents that are out by now are unshared too.
+    able = _linkable(able, parts, docs, percent)
+    parts = add_links(parts, _confirmed(_open_pairs(able, parts, heads, percent, k), docs, percent))
     # Every set's component, and then every row's.
     whole = heads.select("d1", "d2", "n_shingles", "key").join(parts.withColumnRenamed("id", "key"), "key", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "key").alias("component"))
     out = rows.drop("sketch").join(whole, ["d1", "d2", "n_shingles"], "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleanery.llm import decontam, itq, linededup, minhash
-from gleanery.llm.graph import connected_components
+from gleanery.llm import graph
+from gleanery.llm.graph import add_links, connected_components
 
 from .brute import components, edit_distance_in, near_groups, odd_rows, shingles, within_one_edit, without_repeated_lines
 
@@ -24,6 +25,18 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 20_000])
+def test_later_links_join_components(spark, monkeypatch, at_once):
+    """Both in rounds and in one task; the later links join two components, add vertices, and make a new component."""
+    monkeypatch.setattr(graph, "ONE_TASK", at_once)
+    first, later = [(5, 9), (9, 7), (3, 4), (20, 21)], [(7, 4), (21, 30), (40, 41), (5, 9)]
+    parts = connected_components(spark.createDataFrame(first, "a long, b long"))
+    got = {r.id: r.component for r in add_links(parts, spark.createDataFrame(later, "a long, b long")).collect()}
+    assert got == components({x for pair in first + later for x in pair}, first + later)
+    none = spark.createDataFrame([], "a long, b long")
+    assert {r.id: r.component for r in add_links(parts, none).collect()} == components({x for p in first for x in p}, first)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aAbB \t\n\x0bé\x1c", max_size=40), max_size=5))
 def test_set_sizes(values):
