@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from gleanery.llm import itq
 
 
@@ -17,3 +18,13 @@ def test_vectors_of_large_tables_meet(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in itq.near_vectors(table, planned=1 << 22).collect()}
     assert sum(got[2 * i + 1] == 2 * i for i in range(1500)) >= 0.98 * 1500
+
+
+def test_stage_drops_near_copies_from_four_fifths(spark):
+    """One of 54 words replaced: 45 of 55 shingles in common, 0.818."""
+    words = [f"w{i}" for i in range(54)]
+    other = [*words[:27], "x", *words[28:]]
+    far = [*words[:20], "x", *words[21:34], "y", *words[35:]]
+    texts = {1: words, 2: other, 3: [f"v{i}" for i in range(54)], 4: far}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3, 4}
