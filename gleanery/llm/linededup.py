@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, with an edit bound of one.
 
 A line occurrence goes if an earlier one (by document key, then line number) has an equal line or
-one within one edit. Lines are compared in lower case with white space collapsed; lines with fewer
-than ``min_words`` words are left alone.
+one within one edit. Lines are compared in lower case with white space collapsed. Lines with fewer
+than ``min_words`` words go only if they are equal to an earlier one, as one edit can change what a
+short line says; those with fewer than ``exact_words`` are left alone.
 
 Two lines within one edit share all but one position: they agree after masking one character at
 the same place (substitution), or one of them equals the other with one character deleted. So every
@@ -129,15 +130,19 @@ def _lines(docs: DataFrame, min_words: int, columns: str, row) -> DataFrame:
     return docs.mapInArrow(walk, f"key long, line int, {columns}")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8, exact_words: int | None = None) -> DataFrame:
     """(key, lines): for each document with repeated lines, the numbers (from 0) of those that go, in order.
 
+    Equal lines go from exact_words words on (min_words, if it is null; with 1, every line that is
+    not empty), lines within one edit from min_words words on.
+
     Keys are integers. Rows with one key share their decision: of equal line numbers under one key,
     the first counts. Null and empty texts have no lines. Other columns are ignored.
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     # What each line is, where it stands, and its keys of halves.
-    rows = cut(_lines(docs, min_words, "id long, halves array<long>", lambda line: (line_id(line), block_keys(line, 2))))
+    least = min_words if exact_words is None else min(exact_words, min_words)
+    rows = cut(_lines(docs, least, "id long, halves array<long>", lambda line: (line_id(line), block_keys(line, 2) if line.count(" ") >= min_words - 1 else [])))
     at = F.struct("key", "line")
     firsts = cut(rows.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
     # Lines that agree with another one outside a half.
@@ -180,13 +185,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     return gone.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("lines")).withColumnRenamed("key", key)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8, exact_words: int | None = None) -> DataFrame:
     """All columns of docs, the text without its repeated lines, and n_lines, n_removed and emptied.
 
     emptied: lines were removed and none of the rest has anything but white space. Columns of docs
     may have any names but those three.
     """
-    gone = repeated_lines(docs, key, text, min_words).select(F.col(f"`{key}`").alias("_key"), F.col("lines").alias("_gone"))
+    gone = repeated_lines(docs, key, text, min_words, exact_words).select(F.col(f"`{key}`").alias("_key"), F.col("lines").alias("_gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = rows.join(gone, rows["_doc"].getField(key).cast("long") == gone["_key"], "left")
     body = F.col("_doc").getField(text)

@@ -56,7 +56,7 @@ def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), exact_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "emptied")
 
 
