@@ -16,6 +16,8 @@ class RetrievalConfig:
     expand_window: int = 2
     max_context_chunks: int = 24
     num_retrieval_queries: int = 3
+    max_chars_per_window: int = 900
+    window_overlap: int = 120
     max_units_per_chunk: int = 16
     max_chars_per_answer_unit: int = 1500
     unit_cross_top_n: int = 28

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from gleanery.config import RetrievalConfig
 from gleanery.functions import text as tx
-from gleanery.operators import evidence, planning, retrieval, units
+from gleanery.operators import chunking, evidence, planning, retrieval, units
+
+
+#: Windows of a text, and units of a window, that a unit's number has place for.
+UNIT_PLACES = 10_000_000
 
 
 def answer_questions(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
     """One row for each question (qid, query, embedding) with an answer from the chunks (chunk_index, text).
 
     Returns qid, final_answer, n_units, ok and reason of its coverage. The vector of a question is
-    used for all of its queries.
+    used for all of its queries. Units are cut from windows of the texts found, so that the limits of
+    a unit's length and of units act on windows and every part of a long text can answer.
     """
     asked = questions.select(F.col("qid").alias("question_id"), F.col("query").alias("question"), "embedding")
     plans = planning.plan_questions(asked, max_queries=config.num_retrieval_queries, max_requirements=config.max_question_requirements)
@@ -26,13 +31,17 @@ def answer_questions(chunks: DataFrame, vectors: DataFrame, questions: DataFrame
     pool = retrieval.rerank_pool(rows, config.rerank_pool_k)
     pool = retrieval.lexical_rerank(pool) if config.reranker == "lexical" else pool.withColumn("rerank_score", F.col("merge_score"))
     hits = retrieval.structured_rerank(pool, config.top_k)
-    keyed = hits.withColumn("key", F.col("question_id") * 1000 + F.col("rank"))
-    cut = units.answer_units(keyed, "key", "text", config.max_chars_per_answer_unit).where(F.col("unit_no") < config.max_units_per_chunk)
-    scored = cut.join(keyed.select("key", "question_id", "question", "rank", "rerank_score", F.col("aggregate_rrf_score").alias("rrf")), "key")
+    # A text found is cut once, however many questions found it.
+    found_texts = hits.select("chunk_index").distinct().join(chunks, "chunk_index")
+    windows = chunking.split_long_text(found_texts, "chunk_index", "text", config.max_chars_per_window, config.window_overlap)
+    windows = windows.withColumn("window", F.struct("chunk_index", "sub_no"))
+    cut = units.answer_units(windows, "window", "piece", config.max_chars_per_answer_unit).where(F.col("unit_no") < config.max_units_per_chunk)
+    cut = cut.select(F.col("window.chunk_index").alias("chunk_index"), F.col("window.sub_no").cast("long").alias("sub_no"), "unit_no", "unit")
+    scored = cut.join(hits.select("chunk_index", "question_id", "question", "rank", "rerank_score", F.col("aggregate_rrf_score").alias("rrf")), "chunk_index")
     scored = scored.select(
         F.col("question_id").alias("qid"),
         "question",
-        (F.col("rank") * 1000 + F.col("unit_no")).cast("long").alias("unit_no"),
+        ((F.col("rank").cast("long") * UNIT_PLACES + F.col("sub_no")) * UNIT_PLACES + F.col("unit_no")).cast("long").alias("unit_no"),
         F.lit("text").alias("kind"),
         F.lit("body").alias("role"),
         F.col("unit").alias("text"),
