@@ -1,7 +1,7 @@
 """Registered queries of the retrieval engine and their SQL oracles.
 
 Documents stand for pages (their lines for blocks), the first words of benchmark items for
-questions, embeddings for the vectors of documents of the same id, conversations for pairs of
+questions (whole items in end_to_end, which has no oracle), embeddings for the vectors of documents of the same id, conversations for pairs of
 question and answer.
 """
 
@@ -64,9 +64,14 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_index"), "embedding")
 
 
-def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions with the vector of their own id, where there is one."""
-    return _questions(spark, folder).join(_table(spark, folder, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
+def _whole_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), tx.normalize_space(F.col("text")).alias("query"))
+
+
+def _asked(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Questions, or whole items, with the vector of their own id, where there is one."""
+    asked = _whole_questions(spark, folder) if whole else _questions(spark, folder)
+    return asked.join(_table(spark, folder, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
 
 
 # Blocks and chunks.
@@ -514,4 +519,4 @@ def end_to_end(spark: SparkSession, folder: str) -> DataFrame:
     """Every question answered: plan, hybrid retrieval, merging, reranking, units, selection and coverage."""
     from gleanery.plans.engine import answer_questions
 
-    return answer_questions(_documents(spark, folder), _vectors(spark, folder), _asked(spark, folder), CONFIG)
+    return answer_questions(_documents(spark, folder), _vectors(spark, folder), _asked(spark, folder, whole=True), CONFIG)

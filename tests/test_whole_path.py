@@ -1,6 +1,7 @@
 """The path from question to answer reaches every part of a long text."""
 
 from gleanery.config import RetrievalConfig
+from gleanery.plans import catalog
 from gleanery.plans.engine import answer_questions
 
 
@@ -12,3 +13,13 @@ def test_end_of_a_long_text_answers(spark):
     asked = spark.createDataFrame([(7, "zebra quagga okapi enclosure", [1.0, 0.0])], "qid long, query string, embedding array<double>")
     answer = answer_questions(chunks, vectors, asked, RetrievalConfig()).first()
     assert "quagga okapi live in the northern enclosure" in answer.final_answer and answer.n_units > 1
+
+
+def test_words_after_the_twelfth_find_documents(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve zebra quagga okapi"
+    others = [(i, f"unrelated passage number{i} about weather") for i in range(1, 31)]
+    spark.createDataFrame([*others, (99, "zebra quagga okapi live in the north")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1, 31)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    answer = catalog.QUERIES["end_to_end"](spark, str(tmp_path)).first()
+    assert answer.final_answer.startswith("zebra quagga okapi live in the north")
