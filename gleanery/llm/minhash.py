@@ -9,11 +9,21 @@ have, but for a chance of about 0.70 to the power of k, 3.4e-6 for 36 values (0.
 The union's sketch, made from two sketches, estimates the similarity of a candidate pair, and
 pairs that pass are confirmed on the full sets.
 
-Lists can be long where many documents are near copies, so pairs within a list are not all made:
-first every document is compared with the most central one of its lists; links found are joined to
+Lists can be long where many documents are near copies, so pairs within a list are not all made.
+First every document is compared with the most central one of its lists; links found are joined to
 components. Documents that have too many shingles to themselves can be linked with nothing and are
-out; the others are compared with the one of their lists that has the fewest to itself, and then
-with all documents of their lists that are still in a different component and may be linked.
+out. In a list that still has several components, every document is compared with the list's
+centre C and described by its difference from it: the shingles of C that it lacks and those that it
+has besides. With m and a of them, two documents A and B share, of c shingles of C and all others,
+
+    |A and B| = c - mA - mB + z,  |A or B| = c + aA + aB - z
+
+where z counts the differences that both have. So a link needs
+(100 + percent) z >= sA + sB - (100 - percent) c, with s = 100 m + percent a. With z = 0, that holds
+only if both are linked with C, and then they are in one component. Every other link shares at least
+that many differences, so it shares one among the rarest of them (a prefix filter on differences):
+documents meet only in lists of such differences. Lists that are still long get a centre of their
+own, and the step repeats; pairs of the others are made, filtered by the estimate, and confirmed.
 """
 
 from __future__ import annotations
@@ -24,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.llm.common import cut, joined_bytes, mix64, slices, texts
 from gleanery.llm.graph import add_links, connected_components
@@ -35,6 +46,9 @@ RUN = 3
 PASS = 0.5
 #: Bytes of text that are hashed at once; the arrays of a slice take some fifty times as much.
 SLICE = 1 << 20
+#: Lists of differences with more documents get a centre of their own, in all turns but the last, which makes all pairs.
+LONG_LIST = 100
+TURNS = 4
 #: Ids that are broadcast to filter documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -139,11 +153,8 @@ def _estimated(pairs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(F.col("sa"), F.col("sb"), k) >= PASS).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets reach the similarity."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
-    sets = full_sets(with_ids(docs, ids, "key"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets (key, hashes) reach the similarity."""
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"key": "b", "hashes": "hb"}), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
@@ -151,22 +162,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _placed(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows of lists (value, key, ...) with their component, of lists that have more than one."""
-    placed = lists.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = lists.drop("component").join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("value")
     return placed.join(mixed, "value", "left_semi")
 
 
-def _linkable(lists: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(value, key, n, left) of mixed lists: left is the number of shingles that another document of such lists has.
+def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of lists with left, the number of shingles that another document of ``sets`` has.
 
-    No other shingle can be shared, so documents with too few of them can be linked with nothing.
+    No other shingle can be shared, so documents with too few of them can be linked with nothing, and go.
     """
-    placed = cut(_placed(lists, parts).select("value", "key", "n"))
-    ids = placed.select("key").distinct()
-    single = full_sets(with_ids(docs, ids, "key")).select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
+    single = sets.select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
     alone = single.groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
-    able = placed.join(alone, "key", "left").withColumn("left", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("left") * 100 >= F.col("n") * percent)
-    return cut(able.select("value", "key", "n", "left"))
+    able = placed.join(alone, "key", "left").withColumn("left", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return able.where(F.col("left") * 100 >= F.col("n") * percent)
 
 
 def _fits(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
@@ -175,31 +184,71 @@ def _fits(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
     return most * 100 >= (F.col(na) + F.col(nb) - most) * percent
 
 
-def _with_centre(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each document with the one of its lists that has the largest part in common with others."""
-    placed = _placed(lists, parts)
-    share = F.col("left") / F.col("n")
-    centre = placed.groupBy("value").agg(F.max(F.struct(share.alias("share"), (-F.col("key")).alias("key"), "n", "left", "component")).alias("c"))
-    centre = centre.select("value", F.col("c.share").alias("share"), (-F.col("c.key")).alias("a"), F.col("c.n").alias("na"), F.col("c.left").alias("la"), F.col("c.component").alias("ca"))
-    met = placed.join(centre, "value").where((F.col("component") != F.col("ca")) & _fits("n", "na", "left", "la", percent))
-    best = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best"))
-    return best.select((-F.col("best.a")).alias("a"), "b")
+def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every document with the centre of each of its lists: (centre, key, c, s, d, near, n, left, degree).
+
+    d: the differences; near: whether the two are linked, by their full sets.
+    """
+    best = F.max(F.struct((F.col("left") / F.col("n")).alias("share"), "degree", (-F.col("key")).alias("key")))
+    centre = lists.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.key")).alias("centre"))
+    pairs = lists.join(centre, "value").where("key <> centre").select("centre", "key", "n", "left", "degree").distinct()
+    both = pairs.join(sets.withColumnsRenamed({"key": "centre", "hashes": "hc"}), "centre").join(sets, "key")
+    both = both.select("centre", "key", "n", "left", "degree", F.size("hc").cast("long").alias("c"), F.array_except("hc", "hashes").alias("missing"), F.array_except("hashes", "hc").alias("added"))
+    both = both.withColumn("s", 100 * F.size("missing").cast("long") + percent * F.size("added").cast("long"))
+    return both.select("centre", "key", "c", "s", F.concat("missing", "added").alias("d"), (F.col("s") <= (100 - percent) * F.col("c")).alias("near"), "n", "left", "degree")
 
 
-def _open_pairs(lists: DataFrame, parts: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a list, are in different components, may be linked, and have a high estimate.
+def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Lists (value, key, ...) of the differences that a document must share one of with any partner still to be found.
 
-    A pair is made in the first list (by value) that both are in, so once; a document is in SKETCH lists at most.
+    far and wide: a partner may be one that is not linked with the centre, or is; a linked one has only partners that are not.
     """
-    able = cut(_placed(lists, parts).select("value", "key", "n", "left", "component"))
-    whole = able.groupBy("key").agg(F.collect_set("value").alias("all")).join(heads.select("key", "sketch"), "key")
-    able = able.join(whole, "key")
-    x = able.select("value", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"), F.col("all").alias("va"), F.col("sketch").alias("sa"))
-    y = able.select(F.col("value").alias("same"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"), F.col("all").alias("vb"), F.col("sketch").alias("sb"))
-    apart = (F.col("ca") < F.col("cb")) & _fits("na", "nb", "la", "lb", percent)
-    first = F.array_min(F.array_intersect("va", "vb")) == F.col("value")
-    near = _estimate(F.col("sa"), F.col("sb"), k) >= PASS
-    return x.join(y, (F.col("value") == F.col("same")) & apart & first & near).select("a", "b")
+    rows = differences.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    about = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.when(F.col("near"), F.col("s"))).alias("least_near"), F.min(F.when(~F.col("near"), F.col("s"))).alias("least_far"))
+    rows = rows.join(about.where("x < y").drop("x", "y"), "centre")
+    # Differences that two documents must share, and so how many of the rarest ones are looked at.
+    shared = lambda least: F.greatest(F.lit(1), F.ceil((F.col("s") + F.col(least) - (100 - percent) * F.col("c")) / (100 + percent)))
+    reach = lambda least: F.when(F.col(least).isNull(), 0).otherwise(F.size("d") - shared(least) + 1)
+    rows = rows.withColumn("far", reach("least_far")).withColumn("wide", F.when(F.col("near"), 0).otherwise(reach("least_near"))).where("far > 0 OR wide > 0")
+    each = rows.select("centre", "key", "s", F.size("d").alias("size"), "far", "wide", "near", "component", "n", "left", "degree", F.explode("d").alias("element"))
+    known = each.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    met = each.join(known, ["centre", "element"])
+    own = Window.partitionBy("centre", "key", "s", "size")  # a key can have several texts
+    # Differences that no other document has come first; they meet nothing.
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "element"))
+    met = met.withColumn("place", place)
+    met = met.withColumn("far", F.col("place") <= F.col("far")).withColumn("wide", F.col("place") <= F.col("wide")).where("far OR wide")
+    return met.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", "far", "wide", "n", "left", "degree")
+
+
+def _pairs_of(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) of lists of rare differences: in different components, possibly linked, and with a high estimate."""
+    side = lambda x: lists.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "component", "near", "far", "wide", "n", "left")])
+    apart = (F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b"))
+    meet = F.when(F.col("near_a") == F.col("near_b"), F.col("far_a") & F.col("far_b") & ~F.col("near_a")).when(F.col("near_a"), F.col("far_a") & F.col("wide_b")).otherwise(F.col("wide_a") & F.col("far_b"))
+    made = side("a").join(side("b"), "value").where(apart & meet & _fits("n_a", "n_b", "left_a", "left_b", percent))
+    return _estimated(made.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), heads, k)
+
+
+def _remaining_links(lists: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """The components once all links between documents of one list are in them."""
+    placed = cut(_placed(lists, parts))
+    ids = placed.select("key").distinct()
+    sets = cut(full_sets(with_ids(docs, ids, "key")))
+    lists = cut(_placed(_linkable(placed, sets, percent), parts))
+    for turn in range(TURNS):
+        differences = cut(_differences(lists, sets, percent))
+        rare = cut(_rare(differences, parts, percent))
+        sizes = rare.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
+        long = cut(sizes.where(F.col("size") > LONG_LIST).select("value")) if turn < TURNS - 1 else None
+        again = long is not None and long.limit(1).count() > 0
+        short = rare.join(long, "value", "left_anti") if again else rare
+        links = differences.where("near").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+        parts = add_links(parts, links.unionByName(_confirmed(_pairs_of(short, heads, percent, k), sets, percent)))
+        if not again:
+            break
+        lists = cut(_placed(rare.join(long, "value", "left_semi"), parts))
+    return parts
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH) -> DataFrame:
@@ -207,12 +256,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Returns key, n_shingles, component_id (smallest key reachable by links, itself included), kept
     (key = component_id): one row for each input row. A text without words, or null, is linked with
-    nothing. Keys are integers; repeated rows have equal sets and so one component. Other columns
-    are ignored. The sketches are written to the checkpoint folder.
+    nothing. Keys are integers (anything else counts as null); a row without a key is linked with nothing,
+    has no component, and is kept. Repeated rows have equal sets and so one component; a
+    key with different texts has one row for each, with the class of that text.
+    Other columns are ignored, an empty table gives no rows. The sketches are written to the checkpoint folder.
     """
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").try_cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = cut(sketches(docs, k))
-    sets = rows.where("n_shingles > 0")
+    docs = docs.where("key IS NOT NULL")
+    sets = rows.where("n_shingles > 0 AND key IS NOT NULL")
     # One head for each distinct set.
     heads = cut(sets.groupBy("d1", "d2", "n_shingles").agg(F.min("key").alias("key"), F.min_by("sketch", "key").alias("sketch")))
     values = F.transform(F.sequence(F.lit(1), F.size("sketch") - RUN + 1), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(RUN)]))
@@ -223,14 +275,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     centre = shared.groupBy("value").agg(F.max(F.struct("degree", (-F.col("key")).alias("key"), "n")).alias("c")).select("value", (-F.col("c.key")).alias("a"), F.col("c.n").alias("na"), F.col("c.degree").alias("da"))
     stars = shared.join(centre, "value").where((F.col("key") != F.col("a")) & _near(F.col("n"), F.col("na"), percent))
     stars = stars.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("da", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    parts = connected_components(_confirmed(_estimated(stars, heads, k), docs, percent))
-    # Second pass, without documents that have too many shingles to themselves: again with the centre of a list.
-    able = _linkable(shared, parts, docs, percent)
-    parts = add_links(parts, _confirmed(_estimated(_with_centre(able, parts, percent), heads, k), docs, percent))
-    # Third pass: all that is left in one list and different components. Shingles shared only with documents that are out by now are unshared too.
-    able = _linkable(able, parts, docs, percent)
-    parts = add_links(parts, _confirmed(_open_pairs(able, parts, heads, percent, k), docs, percent))
+    stars = cut(_estimated(stars, heads, k))
+    ids = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    parts = connected_components(_confirmed(stars, full_sets(with_ids(docs, ids, "key")), percent))
+    # Then all other links within lists that have documents of several components.
+    parts = _remaining_links(shared, parts, heads, docs, percent, k)
     # Every set's component, and then every row's.
     whole = heads.select("d1", "d2", "n_shingles", "key").join(parts.withColumnRenamed("id", "key"), "key", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "key").alias("component"))
-    out = rows.drop("sketch").join(whole, ["d1", "d2", "n_shingles"], "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+    out = rows.drop("sketch").join(whole, ["d1", "d2", "n_shingles"], "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"))
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))

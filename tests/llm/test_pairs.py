@@ -70,11 +70,60 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def copies_of_one(n, seed=11):
+    """Near copies of one text of 120 words: most are linked with few others, some in chains and groups of their own."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(120)]
+    second = [word() if 40 <= i < 55 else w for i, w in enumerate(base)]
+    some = [word() for _ in range(6)]
+    rows = []
+    for key in range(n):
+        other = list(base if rng.random() < 0.6 else second)
+        for _ in range(rng.choice([1, 2, 3, 4, 4, 5, 6])):
+            other[rng.randrange(120) if rng.random() < 0.6 else rng.choice([7, 60, 90])] = rng.choice(some) if rng.random() < 0.7 else word()
+        rows.append((key, " ".join(other), "en"))
+    return rows
+
+
+def near_groups_at_once(rows, percent):
+    """near_groups by a product of matrices."""
+    sets = [shingles(t) for _, t, _ in rows]
+    place = {e: i for i, e in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[e] for e in s]] = 1
+    common = m @ m.T
+    size = np.asarray([len(s) for s in sets])
+    a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None] - common), 1))
+    return components([k for k, _, _ in rows], [(rows[i][0], rows[j][0]) for i, j in zip(a, b, strict=True)])
+
+
+@pytest.mark.parametrize("percent, long, n", [(80, 100, 2000), (85, 3, 600)])
+def test_near_copies_of_one_text_equal_brute_force(spark, monkeypatch, percent, long, n):
+    """Both with lists of differences that get centres of their own, and without."""
+    monkeypatch.setattr(minhash, "LONG_LIST", long)
+    monkeypatch.setattr(minhash, "TURNS", 2)
+    rows = copies_of_one(n)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string"), percent=percent).collect()}
+    want = near_groups_at_once(rows, percent)
+    assert got == want and n // 20 < len(set(want.values())) < n - n // 20
+
+
+def test_near_duplicates_without_or_with_repeated_keys(spark):
+    """A row without a key is linked with nothing; a key with two texts has a class for each."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(None, a), (7, a), (8, a), (8, b), (9, b), (4, "other words than all the rest have")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, None, True), (7, 7, True), (8, 7, False), (8, 8, True), (9, 8, False), (4, 4, True)], key=str)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_rows(spark)
     got = [(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()]
     assert len(got) == docs.count()
     assert all(k == c for k, c in got)
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
