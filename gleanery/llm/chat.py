@@ -97,19 +97,20 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None, conv: s
     )
 
 
-def parse_chats(chats: DataFrame, template: ChatTemplate | None = None, formatted: str = "formatted") -> DataFrame:
-    """Reads formatted texts back: adds ``parsed``, an array of struct(role, text, loss), by the template alone."""
+def parse_chats(chats: DataFrame, template: ChatTemplate | None = None, formatted: str = "formatted", segments: str = "segments") -> DataFrame:
+    """Reads formatted conversations back: adds parsed and loss_text.
+
+    parsed: array of struct(role, text), read from the formatted text by the template alone.
+    loss_text: the unescaped text of all segments whose loss flag is set, end to end; roles do not matter.
+    """
     t = template or ChatTemplate()
     # A bare mark stands only in markers, so plain splitting is exact.
     bodies = F.transform(F.split(F.col(formatted), _quoted(t.close_turn)), lambda x: F.split(x, _quoted(t.mark + t.after_role), 2))
     full = F.filter(bodies, lambda x: F.size(x) == 2)
     opened = len(t.open_turn) + 1
-    turn = lambda x: F.struct(
-        t.unescaped(F.substr(x[0], F.lit(opened))).alias("role"),
-        t.unescaped(x[1]).alias("text"),
-        t.unescaped(F.substr(x[0], F.lit(opened))).isin(*t.loss_roles).alias("loss"),
-    )
-    return chats.withColumn("parsed", F.transform(full, turn))
+    turn = lambda x: F.struct(t.unescaped(F.substr(x[0], F.lit(opened))).alias("role"), t.unescaped(x[1]).alias("text"))
+    masked = F.transform(F.filter(F.col(segments), lambda x: x["loss"]), lambda x: t.unescaped(x["text"]))
+    return chats.withColumn("parsed", F.transform(full, turn)).withColumn("loss_text", F.array_join(masked, ""))
 
 
 def _quoted(literal: str) -> str:
@@ -119,13 +120,12 @@ def _quoted(literal: str) -> str:
 def chat_digests(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests of what parse_chats has read: turns, and the texts under the loss mask."""
     whole = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform(F.filter("parsed", lambda x: x["loss"]), lambda x: x["text"]), "")
     return chats.select(
         conv,
         F.size("parsed").cast("long").alias("n_turns"),
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.length(masked).cast("long").alias("loss_chars"),
-        F.sha2(masked.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,24 +17,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from the shared checkpoint folder (spark.checkpoint.dir; set here only where it is unset)."""
-    spark = df.sparkSession
+def _checkpoints(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the session's spark.checkpoint.dir. A folder of this machine only where all tasks run here."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` read back from the shared checkpoint folder."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for written tables."""
+    return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that shared_folder has named, with all that is in it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str | None, build: Callable[[], object] = dict) -> object:
+    """What an operator keeps in a Python worker between batches and tasks: built once under its key.
+
+    A worker keeps one operator's state at a time. When another operator begins (with its own key, or
+    with None if it keeps nothing), the state before is dropped and its memory is given back.
+    """
+    if key is None or key not in _RESIDENT:
+        if _RESIDENT or key is None:
+            _RESIDENT.clear()
+            release()
+        if key is None:
+            return None
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Gives memory that is free inside the process back to the machine, as workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

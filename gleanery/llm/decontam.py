@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import slices, texts
+from gleanery.llm.common import resident, slices, texts
 
 #: Share of an item's characters that may differ.
 RATE = 0.05
@@ -110,12 +110,9 @@ class ItemSearch:
         return out
 
 
-_SEARCHES: dict[str, ItemSearch] = {}
-
-
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
     """The benchmark's items in parts of about block_bytes, by hash."""
-    rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = benchmark.select(F.col(f"`{item}`").try_cast("long").alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // block_bytes)
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
@@ -129,11 +126,7 @@ def _searches(benchmark: DataFrame, item: str, text: str, rate: float, block_byt
         name = hashlib.md5(repr((items, rate)).encode("utf-8", "replace")).hexdigest()
 
         def search(shared=sc.broadcast(items), name=name) -> ItemSearch:
-            if name not in _SEARCHES:
-                if len(_SEARCHES) > 1:
-                    _SEARCHES.clear()
-                _SEARCHES[name] = ItemSearch(shared.value, rate)
-            return _SEARCHES[name]
+            return resident(f"items {name}", lambda: ItemSearch(shared.value, rate))
 
         yield search
 
@@ -141,12 +134,12 @@ def _searches(benchmark: DataFrame, item: str, text: str, rate: float, block_byt
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, item, distance): every item that a document holds within floor(rate * length) edits, once.
 
-    Keys and items are integers. Items that are null or empty (but for white space) match nothing,
+    Keys and items are integers (anything else counts as null). Items that are null or empty (but for white space) match nothing,
     null texts hold nothing. Items of one id and several texts count with their smallest distance;
     documents repeated under one key give one row for each repetition. Each pass over the documents
     sends a block of at most about ``block_bytes`` of items to the workers.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").try_cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     out = docs.sparkSession.createDataFrame([], f"`{key}` long, `{item}` long, distance int")
     for search in _searches(benchmark, item, item_text, rate, block_bytes):
 

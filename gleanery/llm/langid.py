@@ -11,7 +11,6 @@ The language with the shortest code for the whole text is predicted.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import joined_bytes, slices, texts
+from gleanery.llm.common import joined_bytes, resident, slices, texts
 
 ORDER = 3
 #: Stands before every text, so that the first bytes have a full context.
 _PAD = b"\n" * ORDER
-_LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
@@ -108,9 +106,6 @@ class CodeLengths:
         return np.add.reduceat(cost, offsets[:-1], axis=0, dtype=np.float64)
 
 
-_MODELS: dict[str, CodeLengths] = {}
-
-
 def _prepared(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -136,13 +131,15 @@ def count_grams(docs: DataFrame, key: str, text: str, lang: str, keep: Column, s
     return [tuple(r) for r in grams.collect()]  # bounded by the sample
 
 
-def identify_languages(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 400) -> DataFrame:
+def identify_languages(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 400, min_count: int = 2) -> DataFrame:
     """Predicts the language of every whole text; learns from the rows for which ``learn_from`` holds.
 
     Returns key, lang_pred (a learned language; "und" if the text is null or has no letter, or if
     nothing was learned), score (the probability of that language among the learned ones if all
     are equally likely before; 0 for "und") and bits_per_byte. One row for each input row. Ties go
     to the first language by name. sample_docs: expected number of texts of each language learned from.
+    min_count: a context of the longest order that was seen less often is left to the next shorter one.
+    Letters are characters that Unicode counts as such, so digits, marks and fractions are none.
     """
     rows = count_grams(docs, key, text, lang, learn_from, sample_docs)
     spark = docs.sparkSession
@@ -150,10 +147,7 @@ def identify_languages(docs: DataFrame, learn_from: Column, key: str = "doc_id",
     name = uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = CodeLengths(model.value)
-        m = _MODELS[name]
+        m = resident(f"code lengths {name}", lambda: CodeLengths(model.value, min_count))
         for part in slices(batches, "text", 1 << 20):
             body = texts(part.column("text"))
             best = np.zeros(len(body), dtype=np.int64)
@@ -165,7 +159,7 @@ def identify_languages(docs: DataFrame, learn_from: Column, key: str = "doc_id",
                 low = bits.min(1)
                 score = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
                 rate = low / np.maximum([len(v) for v in values], 1)
-            sure = np.asarray([bool(m.languages) and _LETTER.search(x) is not None for x in body], dtype=bool)
+            sure = np.asarray([bool(m.languages) and any(map(str.isalpha, x)) for x in body], dtype=bool)
             names = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best, sure, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(names, pa.string()), pa.array(np.where(sure, score, 0.0)), pa.array(np.where(sure, rate, 0.0))], ["key", "lang_pred", "score", "bits_per_byte"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, mix64, slices, texts
+from gleanery.llm.common import cut, mix64, resident, slices, texts
 
 #: Rows of a side that may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 300_000
@@ -43,8 +43,9 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def line_id(line: str) -> bytes:
+    """128 bits, so that different lines have different ids at any size of corpus."""
+    return hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def _block(n: int, j: int, before: str, after: str) -> int:
@@ -115,6 +116,7 @@ def _lines(docs: DataFrame, min_words: int, columns: str, row) -> DataFrame:
     names = [c.split()[0] for c in columns.split(", ")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         for part in slices(batches, "text"):
             out: list[list] = [[] for _ in range(2 + len(names))]
             for key, text in zip(part.column("key").to_pylist(), texts(part.column("text")), strict=True):
@@ -123,7 +125,7 @@ def _lines(docs: DataFrame, min_words: int, columns: str, row) -> DataFrame:
                     if line.count(" ") >= min_words - 1 and line:
                         for column, value in zip(out, (key, i, *row(line)), strict=True):
                             column.append(value)
-            kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+            kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
             types = ["long", "int", *[c.split()[1] for c in columns.split(", ")]]
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(out, types, strict=True)], ["key", "line", *names])
 
@@ -136,19 +138,21 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     Equal lines go from exact_words words on (min_words, if it is null; with 1, every line that is
     not empty), lines within one edit from min_words words on.
 
-    Keys are integers. Rows with one key share their decision: of equal line numbers under one key,
-    the first counts. Null and empty texts have no lines. Other columns are ignored.
+    Keys are integers (anything else counts as null). Rows without a key take no part: they lose no
+    line, and their lines remove no others. Rows with one key share their decision: of equal line
+    numbers under one key, the first counts. Null and empty texts have no lines. Other columns are
+    ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").try_cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL")
     # What each line is, where it stands, and its keys of halves.
     least = min_words if exact_words is None else min(exact_words, min_words)
-    rows = cut(_lines(docs, least, "id long, halves array<long>", lambda line: (line_id(line), block_keys(line, 2) if line.count(" ") >= min_words - 1 else [])))
+    rows = cut(_lines(docs, least, "id binary, halves array<long>", lambda line: (line_id(line), block_keys(line, 2) if line.count(" ") >= min_words - 1 else [])))
     at = F.struct("key", "line")
     firsts = cut(rows.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
     # Lines that agree with another one outside a half.
     halves = rows.select("id", F.explode("halves").alias("block"))
     candidates = cut(_meeting(halves).select("id").distinct())
-    bodies = _semi(_lines(docs, min_words, "id long, body string", lambda line: (line_id(line), line)), candidates, "id")
+    bodies = _semi(_lines(docs, min_words, "id binary, body string", lambda line: (line_id(line), line)), candidates, "id")
     bodies = cut(bodies.groupBy("id").agg(F.first("body").alias("body")).join(firsts.select("id", "first"), "id"))
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +162,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             yield pa.RecordBatch.from_arrays([batch.column("id").take(again), pa.array(np.tile(np.arange(2 * BLOCKS), batch.num_rows), pa.int32()), pa.array([k for ks in keys for k in ks], pa.int64())], ["id", "place", "block"])
 
     # Of those, the blocks outside which they agree with another one: only there can the edit be.
-    blocks = cut(bodies.select("id", "body").mapInArrow(finer, "id long, place int, block long"))
+    blocks = cut(bodies.select("id", "body").mapInArrow(finer, "id binary, place int, block long"))
     places = _meeting(blocks).groupBy("id").agg(F.collect_set("place").alias("places"))
     varied = bodies.join(places, "id")
 
@@ -168,7 +172,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             again = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k, _ in each]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in each])), pa.array(np.concatenate([x for _, x in each])), part.column("id").take(again), part.column("first").take(again)], ["variant", "kind", "id", "first"])
 
-    variants = varied.select("body", "places", "id", "first").mapInArrow(emit, "variant long, kind byte, id long, first struct<key: long, line: int>")
+    variants = varied.select("body", "places", "id", "first").mapInArrow(emit, "variant long, kind byte, id binary, first struct<key: long, line: int>")
     own = F.when(F.col("kind") == 0, F.col("first"))
     other = F.when(F.col("kind") > 0, F.col("first"))
     # The earliest line of each kind; only keys that different lines share.
@@ -180,28 +184,54 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     verified = pairs.join(bodies.select("id", "body"), "id").join(side, "partner").where(F.levenshtein("body", "before", 1) >= 0)
     near = cut(verified.select("id").distinct())
     # Kept of a line: its first occurrence, unless a line within one edit stands earlier.
-    verdicts = firsts.join(near.withColumn("near", F.lit(True)), "id", "left").where("n > 1 OR near").select("id", F.when(F.col("near").isNull(), F.col("first")).alias("kept"))
-    gone = rows.select("id", "key", "line").join(verdicts, "id").where(F.col("kept").isNull() | (F.col("kept") != at))
+    verdicts = firsts.join(near.withColumn("near", F.lit(True)), "id", "left").where("n > 1 OR near").select("id", "n", F.when(F.col("near").isNull(), F.col("first")).alias("kept"))
+    # Lines with a thousandth of all places each are a thousand at most, and broadcast; the others are spread by a shuffle.
+    verdicts, every = cut(verdicts), rows.count()
+    places = rows.select("id", "key", "line")
+    hot = F.broadcast(verdicts.where(F.col("n") * 1000 > every).drop("n"))
+    spread = places.join(F.broadcast(verdicts.where(F.col("n") * 1000 > every).select("id")), "id", "left_anti").join(verdicts.where(F.col("n") * 1000 <= every).drop("n"), "id")
+    gone = places.join(hot, "id").unionByName(spread).where(F.col("kept").isNull() | (F.col("kept") != at))
     return gone.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("lines")).withColumnRenamed("key", key)
 
 
+def _without_lines(docs: DataFrame, key: str, text: str, min_words: int, exact_words: int | None) -> DataFrame:
+    """doc (all columns of docs), gone (numbers of lines that go, or null), and body, the text without them."""
+    gone = repeated_lines(docs, key, text, min_words, exact_words).select(F.col(f"`{key}`").alias("key"), F.col("lines").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = rows.withColumn("key", F.col("doc").getField(key).try_cast("long")).join(gone, "key", "left")
+    kept = F.array_join(F.filter(F.split(F.col("doc").getField(text), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return rows.select("doc", "gone", F.when(F.col("gone").isNull(), F.col("doc").getField(text)).otherwise(kept).alias("body"))
+
+
+def _emptied() -> Column:
+    """Lines were removed and none of the rest has anything but white space."""
+    return F.col("gone").isNotNull() & ~F.col("body").rlike(r"\S")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 8, exact_words: int | None = None) -> DataFrame:
     """All columns of docs, the text without its repeated lines, and n_lines, n_removed and emptied.
 
     emptied: lines were removed and none of the rest has anything but white space. Columns of docs
-    may have any names but those three.
+    may have any names but those three. Keys and odd rows as in repeated_lines.
+    """
+    rows = _without_lines(docs, key, text, min_words, exact_words)
+    columns = [F.col("body").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    lines = F.split(F.col("doc").getField(text), "\n", -1)
+    return rows.select(*columns, F.when(F.col("doc").getField(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), _emptied().alias("emptied"))
+
+
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, min_words: int = 8, exact_words: int | None = None) -> DataFrame:
+    """The rows of docs, without the emptied ones, with their columns, whatever the names: the text without its repeated lines.
+
+    length: a column of the text's length in characters, which is set anew where lines go.
     """
-    gone = repeated_lines(docs, key, text, min_words, exact_words).select(F.col(f"`{key}`").alias("_key"), F.col("lines").alias("_gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = rows.join(gone, rows["_doc"].getField(key).cast("long") == gone["_key"], "left")
-    body = F.col("_doc").getField(text)
-    lines = F.split(body, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNull(), body).otherwise(kept))
-    columns = [F.col("_kept").alias(c) if c == text else F.col("_doc").getField(c).alias(c) for c in docs.columns]
-    return rows.select(
-        *columns,
-        F.when(body.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
-        (F.col("_gone").isNotNull() & ~F.col("_kept").rlike(r"\S")).alias("emptied"),
-    )
+    rows = _without_lines(docs, key, text, min_words, exact_words).where(~F.coalesce(_emptied(), F.lit(False)))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+
+    def column(c: str) -> Column:
+        old = F.col("doc").getField(c)
+        if c == text:
+            return F.col("body").alias(c)
+        return F.when(F.col("gone").isNotNull(), F.length("body").cast(kinds[c])).otherwise(old).alias(c) if c == length else old.alias(c)
+
+    return rows.select(*[column(c) for c in docs.columns])

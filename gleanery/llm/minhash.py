@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.common import cut, joined_bytes, mix64, slices, texts
+from gleanery.llm.common import cut, joined_bytes, mix64, resident, slices, texts
 from gleanery.llm.graph import add_links, connected_components
 
 WORDS = 5
@@ -107,6 +107,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     """key, n_shingles, the set's digest (d1, d2; null for an empty set) and the sketch, of documents (key, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(texts(part.column("text")))
             d1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
@@ -120,6 +121,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """key and the whole set, of documents (key, text)."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         for part in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([part.column("key"), _lists(shingle_sets(texts(part.column("text"))))], ["key", "hashes"])
 

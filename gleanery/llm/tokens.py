@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gleanery.llm.common import slices, texts
+from gleanery.llm.common import resident, slices, texts
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _DIGITS = "0-9²³¹¼-¾"
@@ -38,16 +38,17 @@ class PreTokenCodec:
     """Encodes pre-tokens, keeping what it knows in two generations of bounded dictionaries.
 
     value: what is kept for the ids of a pre-token (a count, or packed ids).
-    most: pre-tokens in a generation; the older one is dropped when the younger is full.
+    most: about how many bytes a generation holds before it grows old; the older one is then dropped.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 200_000):
+    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._value = value
         self._most = most
+        self._held = 0
         self._young: dict[str, object] = {}
         self._old: dict[str, object] = {}
 
@@ -57,13 +58,15 @@ class PreTokenCodec:
     def learn(self, words) -> dict[str, object]:
         """A dictionary with (at least) all of ``words``."""
         young, old = self._young, self._old
-        if len(young) > self._most:
+        if self._held > self._most:
             self._old = old = young
             self._young = young = {}
+            self._held = 0
         for word in words:
             if word not in young:
                 known = old.get(word)
-                young[word] = self._encode(word) if known is None else known
+                young[word] = known = self._encode(word) if known is None else known
+                self._held += 150 + len(word) + (len(known) if isinstance(known, bytes) else 0)
         return young
 
     @staticmethod
@@ -80,15 +83,10 @@ class PreTokenCodec:
         return out
 
 
-_CODECS: dict[tuple[str, str], PreTokenCodec] = {}
-
-
 def _codec(path: str, kind: str) -> PreTokenCodec:
     """One codec for each Python worker, kept between its tasks."""
-    if (path, kind) not in _CODECS:
-        value = len if kind == "count" else (lambda ids: np.asarray(ids, dtype="<u4").tobytes())
-        _CODECS[path, kind] = PreTokenCodec(path, value)
-    return _CODECS[path, kind]
+    value = len if kind == "count" else (lambda ids: np.asarray(ids, dtype="<u4").tobytes())
+    return resident(f"codec {kind} {path}", lambda: PreTokenCodec(path, value))
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", most: int = 2048) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
-A text is cut into units: its words without marks, runs of single letters joined, accents
+A text is cut into units: its words without marks, runs of single letters joined, loose accents
 dropped; a long unit becomes overlapping windows. The kernel of two units is the gap-weighted
 number of common subsequences of four symbols, each weighted by DECAY to the power of its span,
 with at most two symbols skipped, normalised to 1 for equal units. So an insult with a mark or a
@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gleanery.llm.common import slices, texts
+from gleanery.llm.common import resident, slices, texts
 
 DECAY = 0.6
 LENGTH, GAPS, WIDTH, STEP = 4, 2, 24, 12
-SYMBOLS = 32
+#: 26 letters, the edge of a unit, and twelve classes of all other characters; 0 fills up.
+SYMBOLS = 40
 #: Steps between the four symbols, and the span, of every subsequence with at most GAPS skips.
 _STEPS = [(a, b, c) for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3) if a + b + c <= LENGTH - 1 + GAPS]
 _POWERS = np.asarray([DECAY**k if k else 0.0 for k in range(16)], dtype=np.float32)
@@ -61,7 +61,7 @@ def units_of(text: str) -> set[str]:
 
 
 def _folded(unit: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", unit) if not unicodedata.combining(c)) if _PLAIN.search(unit) else unit
+    return "".join(c for c in unicodedata.normalize("NFC", unit) if not unicodedata.combining(c)) if _PLAIN.search(unit) else unit
 
 
 def _windows(unit: str) -> list[str]:
@@ -73,7 +73,7 @@ def _symbols(units: list[str]) -> np.ndarray:
     """One row of symbols for each unit, with an edge symbol on both sides; 0 fills up."""
     codes = np.array(units).view(np.uint32).reshape(len(units), -1).astype(np.int32)
     out = np.zeros((len(units), codes.shape[1] + 2), dtype=np.int32)
-    out[:, 1:-1] = np.where((codes >= 97) & (codes <= 122), codes - 96, np.where(codes > 0, 28 + codes % 4, 0))
+    out[:, 1:-1] = np.where((codes >= 97) & (codes <= 122), codes - 96, np.where(codes > 0, 28 + codes % 12, 0))
     out[:, 0] = 27
     out[np.arange(len(units)), (codes > 0).sum(1) + 1] = 27
     return out
@@ -166,10 +166,19 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float =
     return w[:-1], w[-1]
 
 
-def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3, seed: int = 7) -> SubsequenceMachine:
-    """A machine from (text, 0 or 1); without both labels, one that calls nothing toxic."""
+def bag_of(text: str) -> list[str]:
+    """The distinct windows of a whole text's units, in order."""
+    return sorted({w for u in units_of(text) for w in _windows(u)})
+
+
+def train(labelled: list[tuple[list[str], int]], landmarks: int = 96, passes: int = 4, seed: int = 7, clean_units: int = 4000, hard_units: int = 2000) -> SubsequenceMachine:
+    """A machine from (bag of windows, 0 or 1); without both labels, one that calls nothing toxic.
+
+    clean_units, hard_units: units of clean texts that are counterexamples: so many drawn at first, and
+    in every pass so many more of those with the largest margins among all units of clean texts.
+    """
     silent = SubsequenceMachine(np.zeros(SYMBOLS**LENGTH, dtype=np.float32), -1.0)
-    bags = [(sorted({w for u in units_of(t) for w in _windows(u)}), y) for t, y in sorted(labelled)]
+    bags = sorted(labelled)
     toxic, clean = [b for b, y in bags if y and b], [b for b, y in bags if not y]
     if not toxic or not any(clean):
         return silent
@@ -177,7 +186,6 @@ def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3,
     rates = [Counter(u for b in part for u in b) for part in (toxic, clean)]
     # A unit that clean texts have about as often as toxic ones is no witness; one that toxic texts have far more often, no counterexample.
     suspect = lambda u: rates[0][u] * len(clean) > 8 * rates[1][u] * len(toxic)
-    pool = sorted(u for u in rates[1] if not suspect(u))
     suspects = [[u for u in bag if suspect(u)] for bag in toxic]
     # First witnesses: the unit with the piece of five symbols that speaks most for the toxic label.
     grams = lambda unit: {f"^{unit}$"[i : i + 5] for i in range(max(1, len(unit) - 2))}
@@ -185,12 +193,17 @@ def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3,
     support = 3 + len(toxic) // 100
     odds = lambda g: np.log((seen[0][g] + 0.5) / (len(toxic) + 1)) - np.log((seen[1][g] + 0.5) / (len(clean) + 1)) if seen[0][g] >= support else 0.0
     known = {u: max(map(odds, grams(u))) for u in sorted({u for b in suspects for u in b})}
-    # A toxic text answers for every unit that speaks clearly (odds of 6 to 1), or else for its worst one.
+    # Where a text has a unit that speaks clearly (odds of 6 to 1), only units that speak nearly as clearly can be witnesses:
+    # others merely come along with it, as in long texts or copies of one text.
+    clearest = [max(map(known.__getitem__, b), default=0.0) for b in suspects]
+    suspects = [[u for u in b if top < np.log(6) or known[u] >= 0.6 * top] for b, top in zip(suspects, clearest, strict=True)]
+    # A toxic text answers for every such unit, or else for its worst one.
     telling = lambda b, score, least: [u for u in b if score[u] >= least] or [max(b, key=score.__getitem__)]
     witness = [u for b in suspects if b for u in telling(b, known, np.log(6)) if known[u] > 0]
     if not witness:
         return silent
-    negative = [pool[i] for i in rng.permutation(len(pool))[:4000]]
+    pool = sorted(set(rates[1]) - {u for u in witness if suspect(u)})
+    negative = [pool[i] for i in rng.permutation(len(pool))[:clean_units]]
     machine, hard = silent, []
     for _ in range(passes):
         common = [u for u, _ in Counter(witness).most_common()]
@@ -230,7 +243,7 @@ def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3,
         weights[used] = base @ (root @ w)
         machine = SubsequenceMachine(weights, float(bias))
         margin = machine.margins(pool)
-        hard = [pool[i] for i in np.argsort(-margin, kind="stable")[:1000]]
+        hard = [pool[i] for i in np.argsort(-margin, kind="stable")[:hard_units]]
         negative, hard = sorted({*negative, *hard}), hard[:landmarks]
         score = dict(zip(every := sorted(known), machine.margins(every), strict=True))
         witness = [u for b in suspects if b for u in telling(b, score, 0.5)]
@@ -253,43 +266,53 @@ def train(labelled: list[tuple[str, int]], landmarks: int = 96, passes: int = 3,
     return machine
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str, sample_rows: int) -> list[tuple[str, int]]:
-    """About ``sample_rows`` labelled texts of each label, chosen by the key's hash."""
-    rows = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")).where(F.col("label").isin(0, 1))
-    rates = rows.groupBy("label").agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("rate"))
+def sample_labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str, sample_rows: int, sample_bytes: int = 16 << 20) -> list[tuple[list[str], int]]:
+    """(bag of windows, label) of labelled texts, chosen by the key's hash among the rows for which ``learn_from`` holds.
+
+    A key's label is 1 if any of its labels is. Of each label, about sample_rows texts are expected,
+    and no more than about sample_bytes of text. Texts become bags on the executors.
+    """
+    rows = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")).where(F.col("label").isin(0, 1)).groupBy("key").agg(F.max("label").alias("label"))
+    body = docs.where(learn_from).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    known = rows.join(body.select("key", F.octet_length("text").alias("bytes")), "key")
+    rates = known.groupBy("label").agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count(F.lit(1)), F.lit(float(sample_bytes)) / F.greatest(F.sum("bytes"), F.lit(1))).alias("rate"))
     share = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("key")), F.lit(1 << 20)) / float(1 << 20)
-    ids = rows.join(F.broadcast(rates), "label").where(share < F.col("rate")).groupBy("key").agg(F.max("label").alias("label"))
-    body = docs.where(learn_from).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    found = body.join(F.broadcast(ids), "key").where(F.col("text").isNotNull())  # both are bounded by the sample
-    return [(r["text"], int(r["label"])) for r in found.select("text", "label").collect()]
+    ids = rows.join(F.broadcast(rates), "label").where(share < F.col("rate")).select("key", "label")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([bag_of(x) for x in texts(part.column("text"))], pa.list_(pa.string())), part.column("label").cast(pa.int32())], ["bag", "label"])
+
+    found = body.join(F.broadcast(ids), "key").select("text", "label")  # ids are bounded by the sample
+    return [(r["bag"], r["label"]) for r in found.mapInArrow(bags, "bag array<string>, label int").collect()]  # bounded by the sample
 
 
-_MACHINES: dict[str, tuple[SubsequenceMachine, dict[str, float]]] = {}
 #: Units whose margins a Python worker keeps.
 _KEPT = 100_000
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, sample_rows: int = 1000, carry: bool = False) -> DataFrame:
-    """Scores every whole text; learns from the labelled rows for which ``learn_from`` holds.
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, sample_rows: int = 1000, sample_bytes: int = 16 << 20, clean_units: int = 4000, hard_units: int = 2000, label_key: str | None = None) -> DataFrame:
+    """Scores every whole text; learns from the labelled rows for which ``learn_from`` holds, and from no others.
 
-    Returns key, score (0 to 1), predicted (1 if score >= threshold), one row for each input row.
-    A null text counts as empty; a text without units has the margin FLOOR. If one of the
-    labels is missing, no text is called toxic. A key labelled twice counts as toxic if any label
-    says so. carry: all columns of docs are returned too, before the others; score and predicted must
-    not be among them. sample_rows: expected number of labelled texts of each label learned from.
+    Returns key, score (0 to 1), predicted (1 if score >= threshold), one row for each input row,
+    repeated rows and null keys included. A null or empty text has the score of a text without
+    units. If one of the labels is missing, no text is called toxic. A key labelled twice counts as
+    toxic if any label says so; equal texts have equal scores. Other columns are ignored.
+    sample_rows, sample_bytes: expected number of labelled texts of each label learned from, and of their bytes.
+    clean_units, hard_units: counterexamples in training, see ``train``.
+    label_key: the column of docs and labels that joins them, if it is not key.
     """
     spark = docs.sparkSession
-    machine = train(sample_labelled(docs, labels, learn_from, key, text, label, sample_rows))
+    labelled = sample_labelled(docs, labels, learn_from, label_key or key, text, label, sample_rows, sample_bytes)
+    machine = train(labelled, clean_units=clean_units, hard_units=hard_units)
+    del labelled
     shared = spark.sparkContext.broadcast(machine)
     name = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MACHINES:
-            _MACHINES.clear()
-            _MACHINES[name] = (shared.value, {})
-        m, known = _MACHINES[name]
-        for part in slices(batches, scored, 1 << 20):
-            bags = [words_of(x) for x in texts(part.column(scored))]
+        m, known = resident(f"machine {name}", lambda: (shared.value, {}))
+        for part in slices(batches, "text", 1 << 20):
+            bags = [words_of(x) for x in texts(part.column("text"))]
             if len(known) > _KEPT:
                 known.clear()
             new = [w for w in set().union(*bags) if w not in known]
@@ -298,12 +321,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
             known.update(zip([w for w, _ in new], m.margins([u for _, u in new]).tolist(), strict=True))
             # Two spellings of one unit in a text are one unit twice, as in two places.
             p = m.probability([worst_two(map(known.__getitem__, b)) for b in bags])
-            ends = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(kept)], *ends], [*part.schema.names[:kept], "score", "predicted"])
-
-    columns = docs.columns if carry else [key]
-    kept = len(columns)
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    scored = text if carry else "_scored"
-    rows = docs if carry else docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_scored"))
-    return rows.mapInArrow(score, schema)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["key", "score", "predicted"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(score, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)

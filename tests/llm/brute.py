@@ -64,7 +64,7 @@ def within_one_edit(a, b):
     return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
 
 
-def without_repeated_lines(rows, min_words=8):
+def without_repeated_lines(rows, min_words=8, exact_words=8):
     """(kept lines, number removed) of each document; rows in order of key."""
     plain = lambda x: " ".join(x.lower().split())
     seen, out = [], {}
@@ -73,10 +73,12 @@ def without_repeated_lines(rows, min_words=8):
         lines = text.split("\n")
         for line in lines:
             p = plain(line)
-            if p.count(" ") < min_words - 1 or not p:
+            n = len(p.split())
+            if not p or n < exact_words:
                 kept.append(line)
             else:
-                if not any(within_one_edit(p, q) for q in seen):
+                like = within_one_edit if n >= min_words else str.__eq__
+                if not any(like(p, q) for q in seen if len(q.split()) >= min_words or like == str.__eq__):
                     kept.append(line)
                 seen.append(p)
         out[key] = ("\n".join(kept), len(lines) - len(kept))

@@ -194,6 +194,9 @@ def test_lines_of_odd_rows(spark):
     assert {r.doc_id: r.n_removed for r in got if r.doc_id not in (1,)} == {k: 0 for k in (2, 3, 4, 5, 6, 7, 8, None)}
     assert {r.text for r in got if r.doc_id == 2} == {None} and not any(r.emptied for r in got if r.doc_id != 1)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+    line = "one line of ten words that stands in all three rows"
+    some = spark.createDataFrame([(None, line), (1, line), (2, line + "\nx")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(some).collect()} == {None: line, 1: line, 2: "x"}
 
 
 @settings(max_examples=200, deadline=None)

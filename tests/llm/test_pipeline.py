@@ -13,7 +13,7 @@ import corpus_pipeline
 from gleanery.llm import decontam, toxicity
 from gleanery.llm.common import fold
 
-from .brute import near_groups, without_repeated_lines
+from .brute import near_groups, odd_rows, without_repeated_lines
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,12 +37,12 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     calm = {k for k, r in inputs["toxicity"].items() if rate(r.text or "") < 0.3}
     assert set(kept["toxicity"]) == calm
 
-    lines = without_repeated_lines([(k, r.text) for k, r in inputs["line_dedup"].items()])
+    lines = without_repeated_lines([(k, r.text) for k, r in inputs["line_dedup"].items()], exact_words=1)
     left = {k: text for k, (text, removed) in lines.items() if not removed or text.strip()}
     assert {k: r.text for k, r in kept["line_dedup"].items()} == left
     assert all(r.n_chars == len(r.text) for r in kept["line_dedup"].values())
 
-    groups = near_groups([(k, r.text) for k, r in inputs["near_dedup"].items()])
+    groups = near_groups([(k, r.text) for k, r in inputs["near_dedup"].items()], corpus_pipeline.NEAR_PERCENT)
     assert set(kept["near_dedup"]) == {k for k, c in groups.items() if k == c}
 
     items = [decontam.plain(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
@@ -58,3 +58,20 @@ def test_stages_equal_plain_versions(spark, tmp_path):
         sequences[r.sequence_id] += r.length
     assert lengths == want and max(sequences.values()) <= 2048
     assert len(sequences) <= math.ceil(sum(want.values()) / 2048) + 1
+
+
+@pytest.mark.skipif(not os.path.exists(FOLDER), reason="needs the small tables")
+def test_stages_bear_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing and missing columns, and an empty table; columns stay as they are."""
+    odd = odd_rows(spark)
+    for name in ("predicted", "row", "digest", "n_removed", "emptied", "kept", "component_id", "doc", "body", "gone"):
+        odd = odd.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns == odd.columns and out.count() == odd.count(), name
+        assert {r.doc_id for r in out.collect()} >= {None, 2, 3, 4, 7}
+        assert stage(spark, odd.limit(0), FOLDER).count() == 0
+    plain = odd.select("doc_id", "text", "lang")
+    packed = corpus_pipeline.pack_sequences(spark, plain, FOLDER).collect()
+    assert len({(r.doc_id, r.sequence_id, r.offset) for r in packed}) == len(packed) and {r.doc_id for r in packed} == {r.doc_id for r in plain.collect()}
+    assert corpus_pipeline.pack_sequences(spark, plain.limit(0), FOLDER).count() == 0

@@ -143,6 +143,8 @@ def test_languages(spark):
     got = {r.doc_id: r for r in langid.identify_languages(docs, F.col("doc_id") % 5 != 0).collect()}
     assert sum(got[k].lang_pred == lang for k, _, lang in rows if k % 5 == 0) >= 15
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (2, 3, 4, 7))
+    marks = odd_rows(spark, [(9000, "\u00bd \u00b2 \u2462", "en"), (9001, "\u00aa", "en")])
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.identify_languages(docs.unionByName(marks), F.col("doc_id") < 9000).collect() if r.doc_id in (9000, 9001)} == {9000: True, 9001: False}
     assert all(0 <= r.score <= 1 for r in got.values()) and got[6].lang_pred in ("en", "de")
     nothing = langid.identify_languages(docs, F.lit(False)).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == docs.count()
@@ -197,7 +199,39 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert more[5001] == 1 and more[5002] == 0
     assert {r.predicted for r in toxicity.score_toxicity(docs, labels.limit(0), F.lit(True)).collect()} == {0}
     assert toxicity.score_toxicity(docs.limit(0), labels, F.lit(True)).count() == 0
-    assert toxicity.score_toxicity(docs, labels, F.lit(True), carry=False).columns == ["doc_id", "score", "predicted"]
+    assert toxicity.score_toxicity(docs, labels, F.lit(True)).columns == ["doc_id", "score", "predicted"]
+
+
+def test_labels_are_learned_from_the_given_rows_only(spark):
+    """Held-out labels change nothing, not even which rows are sampled; a key with both labels is toxic."""
+    rows = [(i, f"text number {chr(97 + i % 26) * 3} of many", "en") for i in range(400)]
+    docs = odd_rows(spark, rows)
+    learn = F.col("doc_id") % 4 != 2
+    some = [(i, int(i % 5 == 0)) for i in range(400)]
+    sampled = lambda labels: sorted(toxicity.sample_labelled(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), learn, "doc_id", "text", "toxic", 40))
+    one = sampled(some)
+    assert one == sampled([(i, 1 if i % 4 == 2 else y) for i, y in some]) and 20 < len(one) < 160
+    both = sampled(some + [(i, 0) for i, y in some if y])
+    assert both == one and {y for _, y in one} == {0, 1}
+
+
+def test_machine_equals_an_explicit_kernel_machine():
+    """The folded weights give the margins of a kernel expansion: Nystroem features of a text's units by explicit kernels."""
+    clean = ["harbour", "window", "summer", "garden", "silver", "paper", "stone", "river", "morning", "table"]
+    rng = random.Random(4)
+    texts = [(" ".join(rng.choices(clean, k=12) + (["blorgface"] if i % 2 else [])), i % 2) for i in range(30)]
+    machine = toxicity.train([(toxicity.bag_of(t), y) for t, y in texts])
+    # A margin is linear in the kernel: it is bias + sum of coefficients times kernels with the units that carry weight.
+    units = [*clean, "blorgface"]
+    k = np.asarray([[kernel(a, b) for b in units] for a in units])
+    coefficients = np.linalg.lstsq(k, machine.margins(units) - machine.bias, rcond=None)[0]
+    # The weights lie in the span of the landmarks, and here these are among the units and their bent forms.
+    assert np.allclose(k @ coefficients + machine.bias, machine.margins(units), atol=1e-4)
+    code, weight = toxicity.features(["blxorgface", "harbor"])
+    explicit = [sum(float(machine.weights[c]) * w for c, w in zip(code[i], weight[i], strict=True)) + machine.bias for i in range(2)]
+    assert np.allclose(machine.margins(["blxorgface", "harbor"]), explicit, atol=1e-4)
+    assert machine.margins(["blxorgface"])[0] > machine.margins(clean).max()
+    assert machine.probability([toxicity.worst_two(machine.margins([u])[0] for u in ("blorgface", "river"))])[0] >= 0.3 > machine.probability([toxicity.worst_two(machine.margins(clean))])[0]
 
 
 def test_lpt_is_greedy():
@@ -247,4 +281,8 @@ def test_chats(spark):
     digest = {r.conv_id: r for r in chat.chat_digests(chat.parse_chats(made)).collect()}[1]
     loss = "<turn user< :>\nno\\\\e" + "b"
     assert (digest.loss_chars, digest.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    # The loss comes from the emitted mask: with every flag set, all segments are under it.
+    wrong = made.withColumn("segments", F.transform("segments", lambda x: x.withField("loss", F.lit(True))))
+    other = {r.conv_id: r for r in chat.chat_digests(chat.parse_chats(wrong)).collect()}[1]
+    assert other.loss_sha256 != digest.loss_sha256 and other.turns_sha256 == digest.turns_sha256 and other.loss_chars > digest.loss_chars
     assert chat.format_chats(turns.limit(0)).count() == 0
