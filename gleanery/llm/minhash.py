@@ -21,8 +21,8 @@ has besides. With m and a of them, two documents A and B share, of c shingles of
 where z counts the differences that both have. So a link needs
 (100 + percent) z >= sA + sB - (100 - percent) c, with s = 100 m + percent a. With z = 0, that holds
 only if both are linked with C, and then they are in one component. Every other link shares at least
-that many differences, so it shares one among the rarest of them (a prefix filter on differences):
-documents meet only in lists of such differences. Lists that are still long get a centre of their
+that many differences, so it shares one of the first ones in an order that is the same for all, rare
+ones first (a prefix filter on differences): documents meet only in lists of such differences. Lists that are still long get a centre of their
 own, and the step repeats; pairs of the others are made, filtered by the estimate, and confirmed.
 """
 
@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleanery.llm.common import cut, joined_bytes, mix64, resident, slices, texts
 from gleanery.llm.graph import add_links, connected_components
@@ -47,8 +46,8 @@ PASS = 0.5
 #: Bytes of text that are hashed at once; the arrays of a slice take some fifty times as much.
 SLICE = 1 << 20
 #: Lists of differences with more documents get a centre of their own, in all turns but the last, which makes all pairs.
-LONG_LIST = 100
-TURNS = 4
+LONG_LIST = 1000
+TURNS = 3
 #: Ids that are broadcast to filter documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -189,7 +188,8 @@ def _fits(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
 def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every document with the centre of each of its lists: (centre, key, c, s, d, near, n, left, degree).
 
-    d: the differences; near: whether the two are linked, by their full sets.
+    d: the differences, those that the centre has last, as more documents lack them than have any of the
+    others, each part in one order for all documents; near: whether the two are linked, by their full sets.
     """
     best = F.max(F.struct((F.col("left") / F.col("n")).alias("share"), "degree", (-F.col("key")).alias("key")))
     centre = lists.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.key")).alias("centre"))
@@ -197,7 +197,7 @@ def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.withColumnsRenamed({"key": "centre", "hashes": "hc"}), "centre").join(sets, "key")
     both = both.select("centre", "key", "n", "left", "degree", F.size("hc").cast("long").alias("c"), F.array_except("hc", "hashes").alias("missing"), F.array_except("hashes", "hc").alias("added"))
     both = both.withColumn("s", 100 * F.size("missing").cast("long") + percent * F.size("added").cast("long"))
-    return both.select("centre", "key", "c", "s", F.concat("missing", "added").alias("d"), (F.col("s") <= (100 - percent) * F.col("c")).alias("near"), "n", "left", "degree")
+    return both.select("centre", "key", "c", "s", F.concat(F.sort_array("added"), F.sort_array("missing")).alias("d"), (F.col("s") <= (100 - percent) * F.col("c")).alias("near"), "n", "left", "degree")
 
 
 def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -206,21 +206,16 @@ def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     far and wide: a partner may be one that is not linked with the centre, or is; a linked one has only partners that are not.
     """
     rows = differences.join(parts.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    about = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.when(F.col("near"), F.col("s"))).alias("least_near"), F.min(F.when(~F.col("near"), F.col("s"))).alias("least_far"))
+    about = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.when(F.col("near"), F.col("s"))).alias("least_near"), F.min(F.when(F.col("near"), F.col("component"))).alias("own"), F.min(F.when(~F.col("near"), F.col("s"))).alias("least_far"))
     rows = rows.join(about.where("x < y").drop("x", "y"), "centre")
-    # Differences that two documents must share, and so how many of the rarest ones are looked at.
+    # Differences that two documents must share: all but so many minus one, in one order for all, hold one of them.
     shared = lambda least: F.greatest(F.lit(1), F.ceil((F.col("s") + F.col(least) - (100 - percent) * F.col("c")) / (100 + percent)))
-    reach = lambda least: F.when(F.col(least).isNull(), 0).otherwise(F.size("d") - shared(least) + 1)
-    rows = rows.withColumn("far", reach("least_far")).withColumn("wide", F.when(F.col("near"), 0).otherwise(reach("least_near"))).where("far > 0 OR wide > 0")
-    each = rows.select("centre", "key", "s", F.size("d").alias("size"), "far", "wide", "near", "component", "n", "left", "degree", F.explode("d").alias("element"))
-    known = each.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    met = each.join(known, ["centre", "element"])
-    own = Window.partitionBy("centre", "key", "s", "size")  # a key can have several texts
-    # Differences that no other document has come first; they meet nothing.
-    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "element"))
-    met = met.withColumn("place", place)
-    met = met.withColumn("far", F.col("place") <= F.col("far")).withColumn("wide", F.col("place") <= F.col("wide")).where("far OR wide")
-    return met.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", "far", "wide", "n", "left", "degree")
+    reach = lambda least: F.when(F.col(least).isNull(), 0).otherwise(F.size("d") - shared(least) + 1).cast("int")
+    rows = rows.withColumn("far", reach("least_far")).withColumn("wide", F.when(F.col("near") | (F.col("component") == F.col("own")), 0).otherwise(reach("least_near"))).where("far > 0 OR wide > 0")
+    each = rows.select("centre", "key", "near", "component", "far", "wide", "n", "left", "degree", F.posexplode(F.slice("d", F.lit(1), F.greatest("far", "wide"))).alias("place", "element"))
+    each = each.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", (F.col("place") < F.col("far")).alias("far"), (F.col("place") < F.col("wide")).alias("wide"), "n", "left", "degree")
+    several = each.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value")
+    return each.join(several, "value", "left_semi")
 
 
 def _pairs_of(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
