@@ -49,9 +49,6 @@ IMPERATIVE_TAIL = r"(?:알려\s*주세요|답(?:하|해)세요|나열(?:하|해)
 CONNECTIVES = r"\s*(?:그리고|또한|및|와|과|,|;|/|\?|\.)\s*"
 COMPREHENSIVE = "모두|전부|각각|나열|전체|가능한|방법들|경로들"
 
-# Endings of a question as a heading.
-QUESTION_ENDINGS = "(나요|까요|어요|아요|싶어요|해주세요|알려주세요|안돼요)$"
-
 # Characters that do not count as noise, beside letters and digits.
 CLEAN_MARKS = "().,:%/+-[]{}<>·ㆍ'\"!?？:;=~_#&*@₩☎ "
 

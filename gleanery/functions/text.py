@@ -72,6 +72,11 @@ def intent(question: Column) -> Column:
     return out.otherwise("general")
 
 
+def is_list_style(question: Column) -> Column:
+    """F8: whether the question asks for a list."""
+    return intent(question) == "list"
+
+
 def list_signal(text: Column) -> Column:
     """how much the text looks like a list."""
     t = normalize_space(text)
@@ -273,6 +278,12 @@ def anchor_of(kind: Column, role: Column, anchor_text: Column, text: Column) ->
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(question, F.lit("")), first, F.lit(""))
 
 
+def answer_view(role: Column, answer_text: Column, text: Column) -> Column:
+    """What a chunk can answer with: its answer text, nothing for anchors and contents, else its text."""
+    own = F.coalesce(answer_text, F.lit(""))
+    return F.when(own != "", clean_text(own)).when(role.isin("anchor_question", "toc"), "").otherwise(clean_text(text))
+
+
 def page_string(page: Column, page_end: Column) -> Column:
     """F30."""
     return F.when((F.coalesce(page_end, F.lit(0)) != 0) & (page_end != page), F.concat(F.lit("p."), page.cast("string"), F.lit("-"), page_end.cast("string"))).otherwise(F.concat(F.lit("p."), page.cast("string")))

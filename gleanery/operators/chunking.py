@@ -121,3 +121,25 @@ def group_sections(blocks: DataFrame, heading: str = "is_heading", least_text: i
         F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"),
     )
     return out.where((F.col("n_blocks") >= 2) & (F.length("anchor_text") + F.length("body") + 1 >= least_text) & (F.length("body") >= least_body))
+
+
+#: Fixed value: an entry of a table of contents with its page.
+CONTENTS_LINE = r"(?iU)^\s*Q\s*(\d{1,2})\.\s*(.+?)\s*(?:[·.․…]+\s*)?(\d{1,2})\s*$"
+
+
+def strip_anchor_lines(text: Column) -> Column:
+    """C11: the text's lines that are not blank, without the first if it is a heading or an entry of the contents."""
+    lines = F.filter(F.transform(F.split(text, "\n"), tx.clean_text), lambda x: x != "")
+
+    def body(kept: Column) -> Column:
+        first = F.get(kept, 0)
+        headed = F.coalesce(first.rlike(CONTENTS_LINE) | is_heading(first, F.lit(None).cast("string")), F.lit(False))
+        return tx.clean_text(F.array_join(F.when(headed, F.slice(kept, F.lit(2), F.size(kept))).otherwise(kept), "\n"))
+
+    return tx.bound(lines, body)
+
+
+def filter_ocr(ocr: DataFrame, clean: DataFrame, least: int = 80) -> DataFrame:
+    """The OCR chunks (page, ...) of pages whose clean chunks (page, text) have fewer than ``least`` characters."""
+    full = clean.groupBy("page").agg(F.sum(F.length("text")).alias("chars")).where(F.col("chars") >= least).select("page")
+    return ocr.join(full, "page", "left_anti")

@@ -22,12 +22,12 @@ def expand_neighbors(hits: DataFrame, blocks: DataFrame, window: int = 2, most:
     """Hits (qid, chunk_index, rank) with the text blocks around them, as many as ``most`` for each query.
 
     blocks: chunk_index, page, block_no; of several chunks of one block the last counts. The range
-    is an equi-join: each hit asks for its 2 * window + 1 block numbers. A chunk that is a hit
-    itself stays one; a neighbour of several hits belongs to the first.
+    is an equi-join: each hit asks for its 2 * window + 1 block numbers. A hit that is no
+    text block stays, without neighbours. A chunk that is a hit itself stays one; a neighbour of several hits belongs to the first.
     """
     last = blocks.groupBy("page", "block_no").agg(F.max("chunk_index").alias("chunk_index"))
-    placed = hits.join(blocks, "chunk_index").select("qid", "rank", "chunk_index", "page", "block_no")
-    asked = placed.select("qid", "rank", F.col("chunk_index").alias("expanded_from"), "page", F.explode(F.sequence(F.col("block_no") - window, F.col("block_no") + window)).alias("block_no"))
+    placed = hits.join(blocks, "chunk_index", "left").select("qid", "rank", "chunk_index", "page", "block_no")
+    asked = placed.where("block_no IS NOT NULL").select("qid", "rank", F.col("chunk_index").alias("expanded_from"), "page", F.explode(F.sequence(F.col("block_no") - window, F.col("block_no") + window)).alias("block_no"))
     near = asked.join(last, ["page", "block_no"]).withColumn("context_type", F.lit("neighbor"))
     own = placed.withColumn("expanded_from", F.col("chunk_index")).withColumn("context_type", F.lit("retrieved"))
     both = own.unionByName(near)

@@ -82,6 +82,37 @@ def relative_change(current: Column, baseline: Column) -> Column:
     return F.round((current - baseline) / F.nullif(baseline, F.lit(0.0)) * 100.0, 2)
 
 
+def safe_float(value: Column) -> Column:
+    """the number that the text holds, or null."""
+    return value.try_cast("double")
+
+
+def shown(value: Column, digits: int = 2) -> Column:
+    """the number with so many places, or N/A."""
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+
+
+def arrow(delta: Column, lower_is_better: bool = False) -> Column:
+    """up for better, down for worse, level for no change or null."""
+    better = delta < 0 if lower_is_better else delta > 0
+    return F.when(delta.isNull() | (F.abs(delta) < 1e-9), "→").when(better, "▲").otherwise("▼")
+
+
+def _object(raw: Column) -> Column:
+    return F.from_json(raw, "struct<final_answer: string, answer: string, evidence: array<struct<quote: string>>>")
+
+
+def result_answer(raw: Column) -> Column:
+    """V7: the answer of a result, whether a text or an object that holds it under one of two names."""
+    found = lambda o: F.coalesce(F.nullif(o["final_answer"], F.lit("")), o["answer"], F.lit(""))
+    return F.when(F.coalesce(raw, F.lit("")).rlike(r"^\s*\{"), tx.bound(_object(raw), found)).otherwise(F.coalesce(raw, F.lit("")))
+
+
+def result_evidence(raw: Column) -> Column:
+    """V7: the evidence of a result that is an object; an empty array otherwise."""
+    return F.coalesce(F.when(raw.rlike(r"^\s*\{"), _object(raw)["evidence"]), F.array().cast("array<struct<quote: string>>"))
+
+
 def compare(detail: DataFrame, baseline: str, current: str) -> DataFrame:
     """V6: for each case, both versions' quality (mean of both percentages), its change, and a verdict."""
     quality = (F.col("answer_completeness_pct") + F.col("evidence_hit_rate_pct")) / 2

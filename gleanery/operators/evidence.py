@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,14 @@ def section_evidence(sections: DataFrame, most: int = 2, share: float = 0.72) ->
     return rows.withColumn("source_pos", F.row_number().over(own.orderBy("pos"))).where(F.col("source_pos") <= most).drop("pos", "top")
 
 
+def context_relevance(question: Column, requirements: list[Column], text: Column, rerank: Column, rrf: Column) -> Column:
+    """Overlap with the question and, for less, with each requirement, and a little of both scores."""
+    score = tx.query_overlap(question, text)
+    for wanted in requirements:
+        score = score + 0.7 * tx.query_overlap(wanted, text)
+    return score + 0.05 * F.coalesce(rerank, F.lit(0.0)) + 0.3 * F.coalesce(rrf, F.lit(0.0))
+
+
 def requirement_scores(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
     """(qid, requirement_no, evidence_no, score) of requirements (qid, question, requirement_no, requirement) and their question's evidence."""
     pairs = requirements.join(evidence, "qid")  # a question has few requirements and at most its cap of evidence

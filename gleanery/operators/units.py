@@ -139,6 +139,27 @@ def choose_units(units: DataFrame) -> DataFrame:
     return rows.withColumn("answer_style", style).where(F.col("place") <= most)
 
 
+def ocr_support(units: DataFrame, most: int = 3, preview: int = 500) -> DataFrame:
+    """Of a question's OCR units (qid, question, unit_no, kind, text), the first by overlap, short ones first, as supporting evidence."""
+    rows = units.where(F.col("kind") == "ocr").withColumn("quote_preview", tx.clean_unit(F.col("text")))
+    order = Window.partitionBy("qid").orderBy(F.round(tx.query_overlap(F.col("question"), F.col("text")), 9).desc(), F.length("quote_preview"), "unit_no")
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return rows.withColumns({"quote_preview": F.substring("quote_preview", 1, preview), "ocr_noise_ratio": tx.noise_ratio(F.col("text")), "ocr_quality_score": tx.ocr_quality(F.col("text"))})
+
+
+def render_answers(chosen: DataFrame) -> DataFrame:
+    """One row for each question of its chosen units (qid, question, place, text): final_answer, mode and quotes.
+
+    A list question shows the items of its first unit; others show all units, cleaned and joined.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    rows = chosen.groupBy("qid", "question").agg(F.transform(parts, lambda p: p["text"]).alias("quotes"))
+    listed = tx.render_list(F.col("question"), F.element_at("quotes", 1))
+    joined = tx.normalize_space(F.array_join(F.transform("quotes", tx.clean_unit), " "))
+    is_list = tx.is_list_style(F.col("question"))
+    return rows.select("qid", "question", F.when(is_list, listed["answer"]).otherwise(joined).alias("final_answer"), F.when(is_list, listed["mode"]).otherwise("unit_extract").alias("mode"), "quotes")
+
+
 def within_budget(units: DataFrame, budget: int, overhead: int = 0, least: int = 3) -> DataFrame:
     """U4: the first units (qid, rank, text) whose summed token estimates fit the budget; ``least`` stay even beyond it."""
     total = F.sum(tx.token_estimate(F.col("text"))).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + overhead

@@ -1,8 +1,7 @@
 """Registered queries of the retrieval engine and their SQL oracles.
 
-Documents stand for pages (their lines for blocks), the first words of benchmark items for
-questions (whole items in end_to_end, which has no oracle), embeddings for the vectors of documents of the same id, conversations for pairs of
-question and answer.
+Documents stand for pages (their lines for blocks), benchmark items for questions, embeddings for
+the vectors of documents of the same id, conversations for pairs of question and answer.
 """
 
 from __future__ import annotations
@@ -49,8 +48,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    words = F.split(tx.normalize_space(F.col("text")), " ")
-    return _table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, 12), " ").alias("query"))
+    return _table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), tx.normalize_space(F.col("text")).alias("query"))
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,14 +62,9 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_index"), "embedding")
 
 
-def _whole_questions(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), tx.normalize_space(F.col("text")).alias("query"))
-
-
-def _asked(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """Questions, or whole items, with the vector of their own id, where there is one."""
-    asked = _whole_questions(spark, folder) if whole else _questions(spark, folder)
-    return asked.join(_table(spark, folder, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions with the vector of their own id, where there is one."""
+    return _questions(spark, folder).join(_table(spark, folder, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
 
 
 # Blocks and chunks.
@@ -249,10 +242,10 @@ def structured_rerank(spark: SparkSession, folder: str) -> DataFrame:
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     blocks = _blocks(spark, folder)
     rank = F.row_number().over(Window.partitionBy("page").orderBy(F.length("text").desc(), "chunk_index"))
-    return blocks.where(F.col("text").startswith("T")).select(F.col("page").alias("qid"), "chunk_index", rank.alias("rank"), F.when(F.col("block_no") > 0, F.col("page") * 100_000).alias("parent_index"))
+    return blocks.where(F.col("text").startswith("T")).select(F.col("page").alias("qid"), "chunk_index", rank.alias("rank"), F.when(F.col("block_no") > 0, F.col("page") * (1 << 32)).alias("parent_index"))
 
 
-_HITS = f"""{q.BLOCKS}, hits AS (SELECT page AS qid, chunk_index, row_number() OVER (PARTITION BY page ORDER BY length(text) DESC, chunk_index) AS rank, CASE WHEN block_no > 0 THEN page * 100000 END AS parent_index FROM blocks WHERE starts_with(text, 'T'))"""
+_HITS = f"""{q.BLOCKS}, hits AS (SELECT page AS qid, chunk_index, row_number() OVER (PARTITION BY page ORDER BY length(text) DESC, chunk_index) AS rank, CASE WHEN block_no > 0 THEN page * 4294967296 END AS parent_index FROM blocks WHERE starts_with(text, 'T'))"""
 
 
 @query(f"""WITH {_HITS} SELECT qid, chunk_index, CAST(rank AS INTEGER) AS rank, chunk_index AS expanded_from, 'retrieved' AS context_type FROM hits UNION ALL
@@ -408,6 +401,17 @@ def choose_units(spark: SparkSession, folder: str) -> DataFrame:
     return units.choose_units(_pair_units(spark, folder)).select("qid", "unit_no", "text", "answer_style", "place")
 
 
+@query(f"""WITH {_PAIR_UNITS}, c AS (SELECT qid, question, unit_no, text FROM pu WHERE {q.intent('question')} NOT IN ('list', 'availability') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY unit_no) <= CASE WHEN {q.intent('question')} = 'procedure' THEN 6 ELSE 2 END)
+SELECT qid, {q.space("string_agg(" + q.clean_unit('text') + ", ' ' ORDER BY unit_no)")} AS final_answer, 'unit_extract' AS mode, CAST(count(*) AS INTEGER) AS n_quotes FROM c GROUP BY qid
+UNION ALL SELECT 1000000007, 'a b c, d e', 'label_value_list', 1""")
+def render_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers rendered from chosen units; with them a list question, as the conversations have none."""
+    listed = spark.createDataFrame([(1000000007, FIXTURE_QUESTIONS[0][1], 1, "label: a  b c, d e, a b c")], "qid long, question string, place int, text string")
+    chosen = units.choose_units(_pair_units(spark, folder)).where(~F.col("answer_style").isin("list", "availability"))
+    out = units.render_answers(chosen.select("qid", "question", "place", "text").unionByName(listed))
+    return out.select("qid", "final_answer", "mode", F.size("quotes").alias("n_quotes"))
+
+
 @query(f"""WITH {_PAIR_UNITS}, n AS (SELECT *, kind = 'ocr' AND ({q.noise('text')} >= 0.28 OR (length(text) > 600 AND {q.noise('text')} > 0.16) OR (length(text) > 250 AND {q.count('text', r'[<>{}\[\]=_/\\|]')}::DOUBLE / length(text) > 0.035)) AS noisy FROM pu),
 w AS (SELECT *, bool_or(kind = 'text') OVER (PARTITION BY qid) AS hc, bool_or(noisy) OVER (PARTITION BY qid) AS hn FROM n),
 k AS (SELECT *, bool_or(kind = 'ocr') OVER (PARTITION BY qid) AS ho, {q.overlap('question', 'text')} > 0 AND kind = 'text' AS ov FROM w WHERE NOT (noisy AND hc)),
@@ -519,4 +523,103 @@ def end_to_end(spark: SparkSession, folder: str) -> DataFrame:
     """Every question answered: plan, hybrid retrieval, merging, reranking, units, seed answers and coverage; no U9, U12, parents or neighbours."""
     from gleanery.plans.engine import answer_questions
 
-    return answer_questions(_documents(spark, folder), _vectors(spark, folder), _asked(spark, folder, whole=True), CONFIG)
+    return answer_questions(_documents(spark, folder), _vectors(spark, folder), _asked(spark, folder), CONFIG)
+
+
+# Rules that answers, contexts and reports share, over units, blocks and versions.
+
+
+@query(rf"""WITH {_PAIR_UNITS} SELECT qid, unit_no, 'passage: ' || text AS passage, {q.garbled('text')} AS garbled,
+kind = 'ocr' AND (length({q.space('text')}) > 300 OR {q.noisy('text')} OR {q.garbled('text')}) AS unacceptable,
+CASE kind WHEN 'text' THEN 0 ELSE 8 END AS kind_priority, 0 AS role_priority, CAST(length({q.clean_unit('text')}) AS INTEGER) AS unit_length,
+CASE WHEN unit_no % 2 = 0 THEN 'p.' || unit_no ELSE 'p.' || unit_no || '-' || (unit_no + 3) END AS page_string, lower(trim(' Yes ')) IN ('true', '1', 'yes', 'y') AND unit_no % 2 = 0 AS flag,
+{q.intent('question')} = 'list' AS list_style FROM pu""")
+def unit_rules(spark: SparkSession, folder: str) -> DataFrame:
+    t, n = F.col("text"), F.col("unit_no")
+    order = tx.unit_priority(F.col("kind"), F.col("role"), t, F.col("score"))
+    flag = F.when(n % 2 == 0, F.lit(" Yes ")).otherwise(F.lit("no"))
+    return _pair_units(spark, folder).select("qid", "unit_no", tx.prefixed(t, "passage").alias("passage"), tx.is_garbled(t).alias("garbled"), tx.is_unacceptable_ocr(F.col("kind"), t).alias("unacceptable"), order["kind"].alias("kind_priority"), order["role"].alias("role_priority"), order["length"].alias("unit_length"), tx.page_string(n, F.when(n % 2 == 0, n).otherwise(n + 3)).alias("page_string"), tx.as_bool(flag).alias("flag"), tx.is_list_style(F.col("question")).alias("list_style"))
+
+
+_ITEMS = f"list_filter(list_transform(regexp_split_to_array({q.list_payload('text')}, '\\s*,\\s*|，|、'), lambda x: {q.clean_unit('x')}), lambda x: x NOT IN ('', ',', '，', 'ㆍ', '·') AND {q.canonical('x')} <> '')"
+
+
+@query(f"""WITH {_PAIR_UNITS}, i AS (SELECT qid, unit_no, {q.list_payload('text')} AS payload, {_ITEMS} AS found FROM pu),
+k AS (SELECT *, list_transform(found, lambda x: {q.canonical('x')}) AS keys FROM i),
+d AS (SELECT *, list_filter(found, lambda x, i: list_position(keys, keys[i]) = i) AS items FROM k)
+SELECT qid, unit_no, payload, array_to_string(items, '|') AS items, CASE WHEN len(items) >= 2 THEN array_to_string(list_slice(items, 1, 6), ', ') || CASE WHEN len(items) > 6 THEN ' 등' ELSE '' END ELSE payload END AS answer,
+CASE WHEN len(items) >= 2 THEN 'label_value_list' ELSE 'label_value_payload' END AS mode FROM d""")
+def render_list(spark: SparkSession, folder: str) -> DataFrame:
+    shown = tx.render_list(F.lit("list"), F.col("text"))
+    return _pair_units(spark, folder).select("qid", "unit_no", tx.list_payload(F.col("text")).alias("payload"), F.array_join(tx.list_items(F.col("text")), "|").alias("items"), shown["answer"].alias("answer"), shown["mode"].alias("mode"))
+
+
+@query(f"""WITH {_PAIR_UNITS}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round({q.overlap('question', 'text')}, 9) DESC, length({q.clean_unit('text')}), unit_no) AS place FROM pu WHERE kind = 'ocr')
+SELECT qid, unit_no, CAST(place AS INTEGER) AS place, substr({q.clean_unit('text')}, 1, 500) AS quote_preview, round({q.noise('text')}, 6) AS ocr_noise_ratio FROM o WHERE place <= 3""")
+def ocr_support(spark: SparkSession, folder: str) -> DataFrame:
+    return units.ocr_support(_pair_units(spark, folder)).select("qid", "unit_no", "place", "quote_preview", F.round("ocr_noise_ratio", 6).alias("ocr_noise_ratio"))
+
+
+@query(f"""WITH {_PAIR_UNITS}, t AS (SELECT qid, question, unit_no, CASE WHEN unit_no % 4 = 3 THEN 'anchor_question' ELSE 'body' END AS role, CASE WHEN unit_no % 5 = 4 THEN text || ' answered' ELSE '' END AS answer_text, text FROM pu)
+SELECT qid, unit_no, CASE WHEN answer_text <> '' THEN {q.clean('answer_text')} WHEN role = 'anchor_question' THEN '' ELSE {q.clean('text')} END AS view,
+CASE WHEN unit_no % 2 = 0 THEN 'own' WHEN role = 'anchor_question' THEN {q.space('text')} ELSE '' END AS anchor FROM t""")
+def answer_view(spark: SparkSession, folder: str) -> DataFrame:
+    n, t = F.col("unit_no"), F.col("text")
+    role = F.when(n % 4 == 3, "anchor_question").otherwise("body")
+    own = F.when(n % 5 == 4, F.concat(t, F.lit(" answered"))).otherwise("")
+    return _pair_units(spark, folder).select("qid", "unit_no", tx.answer_view(role, own, t).alias("view"), tx.anchor_of(F.lit("text"), role, F.when(n % 2 == 0, " own "), t).alias("anchor"))
+
+
+_STRIPPED = f"list_filter(list_transform(string_split(marked, chr(10)), lambda x: {q.clean('x')}), lambda x: x <> '')"
+_HEADED = rf"""(regexp_matches(l[1], '(?i)^\s*Q\s*(\d{{1,2}})\.\s*(.+?)\s*(?:[·.․…]+\s*)?(\d{{1,2}})\s*$') OR (regexp_matches({q.space('l[1]')}, '^(\d{{1,2}})\.\s+(.+)$') AND NOT regexp_matches({q.space('l[1]')}, '··|…') AND length({q.space('l[1]')}) <= 140 AND NOT contains({q.heading_title('l[1]')}, '다음과같습니다')))"""
+
+
+@query(f"""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '7. ' WHEN 1 THEN 'Q 7. a heading ... 12' || chr(10) ELSE '' END || text AS marked FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, {_STRIPPED} AS l FROM m)
+SELECT doc_id, {q.clean("array_to_string(CASE WHEN len(l) > 0 AND " + _HEADED + " THEN list_slice(l, 2, len(l)) ELSE l END, chr(10))")} AS body FROM s""")
+def anchor_strip(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").where("text IS NOT NULL")
+    mark = F.when(F.col("doc_id") % 3 == 0, "7. ").when(F.col("doc_id") % 3 == 1, "Q 7. a heading ... 12\n").otherwise("")
+    return docs.select("doc_id", chunking.strip_anchor_lines(F.concat(mark, "text")).alias("body"))
+
+
+@query(f"""WITH {q.PAIRS}, r AS (SELECT *, string_split({q.space('question')}, ' ') AS w FROM pairs),
+t AS (SELECT *, array_to_string(list_slice(w, 1, 4), ' ') AS r1, array_to_string(list_slice(w, 5, 8), ' ') AS r2 FROM r)
+SELECT conv_id, turn, round({q.overlap('question', 'answer')} + 0.7 * {q.overlap('r1', 'answer')} + 0.7 * {q.overlap('r2', 'answer')} + 0.05 * turn + 0.3 * 0.02, 6) AS relevance FROM t""")
+def context_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    words = F.split(tx.normalize_space(F.col("question")), " ")
+    wanted = [F.array_join(F.slice(words, i, 4), " ") for i in (1, 5)]
+    return _pairs(spark, folder).select("conv_id", "turn", F.round(evidence.context_relevance(F.col("question"), wanted, F.col("answer"), F.col("turn"), F.lit(0.02)), 6).alias("relevance"))
+
+
+@query(f"""WITH {q.BLOCKS}, k AS (SELECT *, block_no % 3 = 2 AS ocr FROM blocks), c AS (SELECT page, sum(length(text)) AS chars FROM k WHERE NOT ocr GROUP BY page)
+SELECT chunk_index FROM k LEFT JOIN c USING (page) WHERE ocr AND coalesce(chars, 0) < 80""")
+def ocr_filter(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = _blocks(spark, folder)
+    ocr = F.col("block_no") % 3 == 2
+    return chunking.filter_ocr(blocks.where(ocr), blocks.where(~ocr)).select("chunk_index")
+
+
+_BOTH = f"""{_DETAIL}, s AS (SELECT b.id, h.pct AS current, CASE WHEN b.id % 7 = 0 THEN NULL ELSE b.pct END AS base, h.sec AS fast, b.sec AS slow FROM d b JOIN d h ON h.id = b.id AND b.version = 'base' AND h.version = 'half')"""
+
+
+@query(f"""WITH {_BOTH} SELECT id, round(current - base, 3) AS difference, CASE WHEN base = 0 THEN NULL ELSE round((current - base) / base * 100.0, 2) END AS change,
+coalesce(printf('%.2f', CAST(current AS DOUBLE)), 'N/A') AS shown, coalesce(printf('%.2f', CAST(base AS DOUBLE)), 'N/A') AS shown_base,
+CASE WHEN base IS NULL OR abs(current - base) < 1e-9 THEN '→' WHEN current > base THEN '▲' ELSE '▼' END AS arrow,
+CASE WHEN abs(fast - slow) < 1e-9 THEN '→' WHEN fast < slow THEN '▲' ELSE '▼' END AS speed FROM s""")
+def metric_changes(spark: SparkSession, folder: str) -> DataFrame:
+    detail = _detail(spark, folder)
+    side = lambda v, *names: detail.where(F.col("version") == v).select("id", F.col("answer_completeness_pct").alias(names[0]), F.col("response_time_sec").alias(names[1]))
+    rows = side("base", "base", "slow").join(side("half", "current", "fast"), "id").withColumn("base", F.when(F.col("id") % 7 != 0, F.col("base")))
+    now, before = F.col("current"), F.col("base")
+    return rows.select("id", evaluation.difference(now, before).alias("difference"), evaluation.relative_change(now, before).alias("change"), evaluation.shown(now).alias("shown"), evaluation.shown(before).alias("shown_base"), evaluation.arrow(now - before).alias("arrow"), evaluation.arrow(F.col("fast") - F.col("slow"), lower_is_better=True).alias("speed"))
+
+
+@query(f"""WITH {q.PAIRS} SELECT conv_id, turn, answer, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_evidence, CASE WHEN turn % 2 = 0 THEN CAST(turn AS DOUBLE) / 2 END AS seconds FROM pairs""")
+def result_rows(spark: SparkSession, folder: str) -> DataFrame:
+    p = _pairs(spark, folder)
+    whole = F.struct(F.col("answer").alias("final_answer"), F.array(F.struct(F.lit("a quote").alias("quote"))).alias("evidence"))
+    other = F.struct(F.lit("").alias("final_answer"), F.col("answer"))
+    raw = p.withColumn("raw", F.when(F.col("turn") % 3 == 0, F.to_json(whole)).when(F.col("turn") % 3 == 1, F.to_json(other)).otherwise(F.col("answer")))
+    rows = raw.withColumn("seconds", F.when(F.col("turn") % 2 == 0, (F.col("turn") / 2).cast("string")).otherwise("n/a"))
+    return rows.select("conv_id", "turn", evaluation.result_answer(F.col("raw")).alias("answer"), F.size(evaluation.result_evidence(F.col("raw"))).alias("n_evidence"), evaluation.safe_float(F.col("seconds")).alias("seconds"))

@@ -79,13 +79,13 @@ def answer_norm(x: str) -> str:
 #: The lines of documents as blocks.
 BLOCKS = f"""
 blocks AS (
-  SELECT doc_id AS page, source AS source_title, CAST(n - 1 AS INTEGER) AS block_no, doc_id * 100000 + n - 1 AS chunk_index, {clean('raw')} AS text
+  SELECT doc_id AS page, source AS source_title, CAST(n - 1 AS INTEGER) AS block_no, doc_id * 4294967296 + n - 1 AS chunk_index, {clean('raw')} AS text
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)
   WHERE length({clean('raw')}) >= 10)"""
 
-#: The first twelve words of every benchmark item, as questions.
+#: Every benchmark item as a question.
 QUESTIONS = r"""
-questions AS (SELECT item_id AS qid, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 12), ' ') AS query FROM benchmark)"""
+questions AS (SELECT item_id AS qid, trim(regexp_replace(text, '\s+', ' ', 'g')) AS query FROM benchmark)"""
 
 #: Every user turn with the assistant's turn that follows.
 PAIRS = """
@@ -96,10 +96,10 @@ pairs AS (
 
 #: Term weights and scores of documents for questions.
 BM25 = f"""
-doc_tokens AS (SELECT doc_id, {tokens('text')} AS toks FROM documents WHERE text IS NOT NULL),
+doc_tokens AS MATERIALIZED (SELECT doc_id, {tokens('text')} AS toks FROM documents WHERE text IS NOT NULL),
 n AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM doc_tokens),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM doc_tokens) GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM doc_tokens) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 tf AS (SELECT doc_id, len(any_value(toks)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM doc_tokens) GROUP BY doc_id, term)"""
 
@@ -119,3 +119,24 @@ def dense_list(queries: str, k: int) -> str:
     return f"""
 products AS (SELECT q.qid, e.vec_id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM {queries} q, embeddings e WHERE e.embedding IS NOT NULL),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM products) WHERE rank <= {k})"""
+
+
+def list_payload(x: str) -> str:
+    t = clean_unit(x)
+    after = f"trim(regexp_replace({t}, '^[^:：]*[:：]', ''))"
+    t = f"(CASE WHEN regexp_matches({t}, '[:：]') AND length({after}) >= 2 THEN {after} ELSE {t} END)"
+    return space(rf"regexp_replace(regexp_replace({t}, '\s*,\s*,\s*', ', ', 'g'), '^[,，\s]+|[,，\s]+$', '', 'g')")
+
+
+def garbled(x: str) -> str:
+    t, compact = space(x), rf"regexp_replace({space(x)}, '\s', '', 'g')"
+    symbols, digits = count(compact, r"[<>{}\[\]=_/\\|~`^]"), count(compact, r"\d{5,}")
+    urls = count(t, r"(?i)(?:https?|www|[0-9]{2}//|\.do|\.go|\.kr)")
+    rare = count(t, r"""[^가-힣a-zA-Z0-9\s().,:%/+-\[\]{}<>·ㆍ''"!?？:;=~_#&*@₩☎]""")
+    return f"(length({compact}) = 0 OR ({symbols} + {rare} + {digits} * 3 + {urls} * 2)::DOUBLE / greatest(length({compact}), 1) >= 0.055 OR (length({t}) > 250 AND ({digits} >= 2 OR {urls} >= 2)))"
+
+
+def noisy(x: str) -> str:
+    t = space(x)
+    marks = count(t, r"[<>{}\[\]=_/\\|]")
+    return f"(length({t}) = 0 OR (length({t}) > 600 AND {noise(t)} > 0.16) OR {noise(t)} >= 0.28 OR (length({t}) > 250 AND {marks}::DOUBLE / greatest(length({t}), 1) > 0.035))"

@@ -55,7 +55,7 @@ def text_blocks(docs: DataFrame, page: str = "doc_id", title: str = "source", le
     lines = docs.select(F.col(page).alias("page"), F.col(title).alias("source_title"), F.posexplode(F.split("text", "\n")).alias("block_no", "raw"))
     blocks = lines.withColumn("text", tx.clean_text(F.col("raw"))).where(F.length("text") >= least)
     return blocks.select(
-        (F.col("page") * 100_000 + F.col("block_no")).alias("chunk_index"),
+        (F.col("page") * (1 << 32) + F.col("block_no")).alias("chunk_index"),
         F.concat(F.lit("p"), F.col("page"), F.lit("_text_b"), F.col("block_no"), F.lit("_0")).alias("chunk_id"),
         "source_title",
         "page",
