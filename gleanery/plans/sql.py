@@ -101,14 +101,14 @@ n AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM doc_tokens),
 df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM doc_tokens) GROUP BY term),
 raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-tf AS (SELECT doc_id, len(any_value(toks)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM doc_tokens) GROUP BY doc_id, term)"""
+tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM doc_tokens) GROUP BY doc_id, dl, term)"""
 
 
 def bm25_list(queries: str, k: int) -> str:
     """CTEs from queries (qid, query) to ``sparse`` (qid, doc_id, score, rank)."""
     return f"""
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tokens('query')}) AS term FROM {queries}) GROUP BY qid, term),
-scored AS (SELECT qid, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), n GROUP BY qid, doc_id),
+scored AS MATERIALIZED (SELECT qid, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), n GROUP BY qid, doc_id),
 filled AS (SELECT qid, doc_id, score FROM scored UNION ALL
   SELECT q.qid, d.doc_id, 0.0 FROM {queries} q, (SELECT doc_id FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT {2 * k}) d WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.qid = q.qid AND s.doc_id = d.doc_id)),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM filled) WHERE rank <= {k})"""

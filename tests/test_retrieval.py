@@ -96,3 +96,21 @@ def test_chunks_round_trip(spark, tmp_path):
     assert sorted(r.text for r in back.collect()) == ["first block of it", "second block here"]
     assert back.where("parent_id IS NULL").count() == 2
     assert sorted(r[0] for r in back.select(readers.block_number(F.col("chunk_id"))).collect()) == [0, 1]
+
+
+def test_vectors_that_cannot_be_compared_are_not_found(spark):
+    from gleanery.operators.retrieval import dense_top_k
+
+    rows = [(1, [1.0, 0.0]), (2, [0.5, None]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [])]
+    table = spark.createDataFrame(rows, "chunk_index long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 0.0, 2.0]), (7, [None, 1.0])], "qid long, embedding array<double>")
+    assert sorted((r.qid, r.chunk_index, r.score) for r in dense_top_k(table, asked, 3).collect()) == [(8, 3, 0.0), (9, 1, 1.0)]
+
+
+def test_hits_that_are_no_blocks_keep_their_place(spark):
+    from gleanery.operators.context import expand_neighbors
+
+    hits = spark.createDataFrame([(1, 10, 1), (1, 99, 2)], "qid long, chunk_index long, rank int")
+    blocks = spark.createDataFrame([(9, 1, 0), (10, 1, 1), (11, 1, 2)], "chunk_index long, page long, block_no int")
+    got = [(r.chunk_index, r.context_type) for r in expand_neighbors(hits, blocks, 1).orderBy("position").collect()]
+    assert got == [(9, "neighbor"), (10, "retrieved"), (11, "neighbor"), (99, "retrieved")]
