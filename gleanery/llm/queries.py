@@ -84,7 +84,31 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
+#: Components of the links l(a, b), both directions, over the nodes v(id): id and component.
+_COMPONENTS = """reach AS (SELECT id, id AS other FROM v UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
+parts AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
+
 ORACLES = {
+    "op3_minhash_groups": rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS MATERIALIZED (SELECT id, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [md5(array_to_string(words, ' '))]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i:i + 4], ' ')))) END AS shingles FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS common FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY x.doc_id, y.doc_id),
+k AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (na + nb - common)),
+l AS MATERIALIZED (SELECT a, b FROM k UNION SELECT b, a FROM k),
+v AS (SELECT DISTINCT doc_id AS id FROM documents),
+{_COMPONENTS}
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component AS component_id, component = s.doc_id AS kept FROM s JOIN parts ON parts.id = s.doc_id
+""",
+    "op4_itq_groups": f"""
+WITH RECURSIVE u AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)) >= 0.95),
+v AS (SELECT vec_id AS id FROM embeddings),
+{_COMPONENTS}, n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0) AS n_links, component AS component_id, component = vec_id AS kept FROM embeddings JOIN parts ON parts.id = vec_id LEFT JOIN n ON n.a = vec_id
+""",
     "op10_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
