@@ -52,11 +52,11 @@ def similarity(a: str, b: str, containment: bool = True) -> float:
     """F18 for canonical texts: 0 if one is empty, 1 for containment, else the larger of bigram Jaccard and matching ratio."""
     if not a or not b:
         return 0.0
-    if a in b or b in a:
+    if containment and (a in b or b in a):
         return 1.0
-    grams = lambda x: {x[i : i + 2] for i in range(len(x) - 1)} or {x}
-    ga, gb = grams(a), grams(b)
-    return max(len(ga & gb) / len(ga | gb), SequenceMatcher(None, a, b).ratio())
+    left, right = ({x} if len(x) < 2 else set(map("".join, zip(x, x[1:], strict=False))) for x in (a, b))
+    both = len(left.intersection(right))
+    return max(both / (len(left) + len(right) - both), SequenceMatcher(None, a, b).ratio())
 
 
 def dedupe_units(units: DataFrame, least: float = 0.88, most: int = 24) -> DataFrame:

@@ -229,7 +229,7 @@ def rerank_pool(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.rerank_pool(_anchored(spark, folder), CONFIG.rerank_pool_k).select("question_id", "chunk_index", F.round("anchor_score", 6).alias("anchor_score"), "pool_class", "pool_pos")
 
 
-@query(f"""WITH {_ANCHORED}, s AS (SELECT question_id, chunk_index, {q.overlap('query', 'text')} + 0.55 * anchor_score AS score FROM pool)
+@query(f"""WITH {_ANCHORED}, s AS (SELECT question_id, chunk_index, {q.overlap('query', 'text')} + 0.55 * anchor_score + {q.polarity('query', 'text')} AS score FROM pool)
 SELECT question_id, chunk_index, round(score, 6) AS structured_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_index) AS rank FROM s) WHERE rank <= {CONFIG.top_k}""")
 def structured_rerank(spark: SparkSession, folder: str) -> DataFrame:
     pool = retrieval.lexical_rerank(retrieval.rerank_pool(_anchored(spark, folder), CONFIG.rerank_pool_k))
@@ -301,25 +301,6 @@ def bigram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("conv_id", "turn", F.round(tx.bigram_similarity(F.col("question"), F.col("answer")), 6).alias("similarity"))
 
 
-@query(f"""WITH {q.PAIRS} SELECT conv_id, turn, round(4.0 * {q.overlap('question', 'answer')} + CASE WHEN length(answer) >= 25 THEN 0.15 ELSE 0.0 END - CASE WHEN length(answer) > 1200 THEN 0.4 ELSE 0.0 END - turn * 0.015, 6) AS score FROM pairs WHERE {q.intent('question')} = 'general'""")
-def unit_base_score(spark: SparkSession, folder: str) -> DataFrame:
-    p = _pairs(spark, folder).where(tx.intent(F.col("question")) == "general")
-    return p.select("conv_id", "turn", F.round(tx.unit_score(F.col("question"), F.col("answer"), F.lit("text"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("turn")), 6).alias("score"))
-
-
-@query(rf"""WITH {q.PAIRS}, l AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS raw, generate_subscripts(string_split(answer, chr(10)), 1) AS line_no FROM pairs),
-c AS (SELECT conv_id, turn, line_no, {q.clean('raw')} AS line FROM l WHERE {q.clean('raw')} <> ''),
-s AS (SELECT *, regexp_matches(line, '^\s*(?:[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]|\d+[\.)]|[‣∎•○●※*\-])\s*') OR (regexp_matches(line, '^\s*[A-Z]?[\[\(]?.{{0,12}}[:：]') AND length(line) < 600 AND row_number() OVER (PARTITION BY conv_id, turn ORDER BY line_no) > 1) AS starts FROM c),
-g AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS grp FROM s),
-u AS (SELECT conv_id, turn, grp, {q.space("string_agg(line, ' ' ORDER BY line_no)")} AS unit FROM g GROUP BY conv_id, turn, grp),
-r AS (SELECT conv_id, turn, grp, CASE WHEN length(unit) > 1500 AND NOT ({q.list_signal('unit')} >= 1.2 OR regexp_matches(unit, ',|，|http')) THEN unit ELSE rtrim(substr(unit, 1, 1500)) END AS unit FROM u),
-f AS (SELECT conv_id, turn, unit, min(grp) AS pos FROM r WHERE unit <> '' GROUP BY conv_id, turn, unit)
-SELECT conv_id * 1000 + turn AS id, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS INTEGER) AS unit_no, unit FROM f""")
-def answer_units(spark: SparkSession, folder: str) -> DataFrame:
-    p = _pairs(spark, folder).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "answer")
-    return units.answer_units(p, "id", "answer", CONFIG.max_chars_per_answer_unit)
-
-
 # Korean fixtures, as the rules are about Korean wording.
 
 FIXTURE_QUESTIONS = (
@@ -334,6 +315,17 @@ FIXTURE_QUESTIONS = (
     (9, "휴대전화가 없을 때 조회할 수 있나요?"),
 )
 
+FIXTURE_ANSWERS = (
+    "인증방법: 휴대폰인증, 간편인증, 휴대폰인증",
+    "신청한 즉시 조회 가능합니다. 24시간 이용할 수 있습니다.",
+    "불가합니다. 휴대전화가 없는 경우 안 됩니다.",
+    "개인통관고유부호란 수입 통관을 위한 부호를 말합니다.",
+    "① 로그인 후 메뉴에서 ② 변경 버튼을 선택하여 신청합니다. https://example.org",
+    "A, B, C: (x)",
+    "{}[]<>~~ ^^ 1234567 99999999 www",
+    "없음",
+)
+
 
 def _fixtures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FIXTURE_QUESTIONS), "question_id long, question string")
@@ -342,9 +334,54 @@ def _fixtures(spark: SparkSession) -> DataFrame:
 _FIX = "fix(question_id, question) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in FIXTURE_QUESTIONS) + ")"
 
 
+#: Questions of every kind, made of the fixtures and the user's turns, with answers in every kind of wording.
+def _asked_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    fixtures = spark.createDataFrame([(i, t, a) for i, t in FIXTURE_QUESTIONS for a in FIXTURE_ANSWERS], "id long, question string, answer string")
+    pairs = _pairs(spark, folder).select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("id"), "question", "answer")
+    rows = pairs.unionByName(fixtures).withColumn("kind", F.when(F.length("answer") % 3 == 2, "ocr").otherwise("text"))
+    return rows.distinct()
+
+
+def _asked_sql() -> str:
+    answers = ", ".join(f"('{x}')" for x in FIXTURE_ANSWERS)
+    return f"""{q.PAIRS}, {_FIX}, said(answer) AS (VALUES {answers}), ap AS (SELECT *, CASE WHEN length(answer) % 3 = 2 THEN 'ocr' ELSE 'text' END AS kind FROM (
+  SELECT DISTINCT conv_id * 1000 + turn + 100 AS id, question, answer FROM pairs UNION SELECT question_id, question, answer FROM fix, said))"""
+
+
+@query(f"""WITH {_asked_sql()} SELECT id, answer, round(4.0 * {q.overlap('question', 'answer')} + 0.2 * (id % 5) + 1.5 * 0.02
++ CASE WHEN kind = 'ocr' THEN -2.2 - CASE WHEN length(answer) > 300 THEN 1.5 ELSE 0.0 END - CASE WHEN length(answer) > 800 THEN 2.0 ELSE 0.0 END - {q.noise('answer')} * 2.0 - CASE WHEN {q.noisy('answer')} THEN 2.0 ELSE 0.0 END ELSE 0.0 END
++ {q.unit_bonus('question', 'answer')} + CASE WHEN length(answer) >= 25 THEN 0.15 ELSE 0.0 END - CASE WHEN length(answer) > 1200 THEN 0.4 ELSE 0.0 END - (id % 7) * 0.015, 6) AS score FROM ap""")
+def unit_base_score(spark: SparkSession, folder: str) -> DataFrame:
+    p = _asked_pairs(spark, folder)
+    return p.select("id", "answer", F.round(tx.unit_score(F.col("question"), F.col("answer"), F.col("kind"), (F.col("id") % 5).cast("double"), F.lit(0.02), F.col("id") % 7), 6).alias("score"))
+
+
+@query(f"""WITH {_asked_sql()}, t AS (SELECT *, {q.critical('question')} AS terms, {q.intent('question')} = 'list' AS listed, {q.requested('question')} AS wanted, {q.n_items('answer')} AS n_items,
+len(list_filter(list_transform(regexp_split_to_array({q.space('answer')}, '[,，、]'), lambda x: {q.space('x')}), lambda x: x NOT IN ('', '등', '없음'))) AS n_pieces FROM ap),
+m AS (SELECT *, len(list_filter(terms, lambda t: NOT contains({q.norm(q.space('answer'))}, {q.norm('t')}))) AS n_missing, CASE WHEN listed THEN coalesce(wanted, 2) ELSE coalesce(wanted, 0) END AS required, CASE WHEN NOT listed THEN 0 WHEN n_items > 0 THEN n_items ELSE n_pieces END AS shown FROM t)
+SELECT id, answer, CAST(n_missing AS INTEGER) AS n_missing, CAST(required AS INTEGER) AS required, CAST(shown AS INTEGER) AS shown, {q.polarity('question', 'answer')} AS polarity,
+n_missing = 0 AND NOT (listed AND shown < required) AS ok, CASE WHEN listed AND shown < required THEN 'not_enough_list_items' WHEN n_missing > 0 THEN 'missing_critical_terms' ELSE 'ok' END AS reason FROM m""")
+def coverage(spark: SparkSession, folder: str) -> DataFrame:
+    out = units.coverage(_asked_pairs(spark, folder).withColumn("final_answer", F.col("answer")))
+    return out.select("id", "answer", F.size("missing_terms").alias("n_missing"), F.col("required_min_items").alias("required"), F.col("rendered_item_count").alias("shown"), tx.polarity(F.col("question"), F.col("answer")).alias("polarity"), "ok", "reason")
+
+
+@query(rf"""WITH {q.PAIRS}, l AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS raw, generate_subscripts(string_split(answer, chr(10)), 1) AS line_no FROM pairs),
+c AS (SELECT conv_id, turn, line_no, {q.clean('raw')} AS line FROM l WHERE {q.clean('raw')} <> ''),
+s AS (SELECT *, regexp_matches(line, '^\s*(?:[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]|\d+[\.)]|[‣∎•○●※*\-])\s*') OR (regexp_matches(line, '^\s*[A-Z]?[\[\(]?.{{0,12}}[:：]') AND length(line) < 600 AND row_number() OVER (PARTITION BY conv_id, turn ORDER BY line_no) > 1) AS starts FROM c),
+g AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS grp FROM s),
+u AS (SELECT conv_id, turn, grp, {q.space("string_agg(line, ' ' ORDER BY line_no)")} AS unit FROM g GROUP BY conv_id, turn, grp),
+r AS (SELECT conv_id, turn, grp, CASE WHEN length(unit) > 1500 AND NOT ({q.list_signal('unit')} >= 1.2 OR regexp_matches(unit, ',|，|http')) THEN unit ELSE rtrim(substr(unit, 1, 1500)) END AS unit FROM u),
+f AS (SELECT conv_id, turn, unit, min(grp) AS pos FROM r WHERE unit <> '' GROUP BY conv_id, turn, unit)
+SELECT conv_id * 1000 + turn AS id, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS INTEGER) AS unit_no, unit FROM f""")
+def answer_units(spark: SparkSession, folder: str) -> DataFrame:
+    p = _pairs(spark, folder).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "answer")
+    return units.answer_units(p, "id", "answer", CONFIG.max_chars_per_answer_unit)
+
+
 @query(rf"""WITH {_FIX}, n AS (SELECT *, {q.space('question')} AS s FROM fix)
 SELECT question_id, {q.intent('question')} AS intent, array_to_string({q.tokens('question')}, ' ') AS tokens,
-CAST(coalesce(CAST(nullif(regexp_extract(s, '(\d+)\s*(?:가지|개|종|명|항목)\s*이상', 1), '') AS INTEGER), CASE regexp_extract(s, '(한|하나|두|둘|세|셋|네|넷|다섯|여섯|일곱|여덟|아홉|열)\s*(?:가지|개|종|명|항목)\s*이상', 1) WHEN '두' THEN 2 WHEN '세' THEN 3 WHEN '한' THEN 1 END) AS INTEGER) AS requested,
+{q.requested('question')} AS requested,
 regexp_matches(s, '없(?:는|을|어|습니다|나요|다면)?|아니|안\s*되|못\s*하|불가|제한') AS negative FROM n""")
 def question_rules(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("question")
@@ -412,15 +449,29 @@ def render_answer(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("qid", "final_answer", "mode", F.size("quotes").alias("n_quotes"))
 
 
-@query(f"""WITH {_PAIR_UNITS}, n AS (SELECT *, kind = 'ocr' AND ({q.noise('text')} >= 0.28 OR (length(text) > 600 AND {q.noise('text')} > 0.16) OR (length(text) > 250 AND {q.count('text', r'[<>{}\[\]=_/\\|]')}::DOUBLE / length(text) > 0.035)) AS noisy FROM pu),
+def _mixed_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The units of the pairs, and of the fixtures: every answer as a unit of every question, every third one as if read by OCR."""
+    rows = [(i, t, n, "ocr" if n % 3 == 2 else "text", a) for i, t in FIXTURE_QUESTIONS for n, a in enumerate(FIXTURE_ANSWERS) if (i + n) % 4]
+    fixtures = spark.createDataFrame(rows, "qid long, question string, unit_no long, kind string, text string")
+    return _pair_units(spark, folder).select("qid", "question", "unit_no", "kind", "text").unionByName(fixtures)
+
+
+_MIXED = f"""{_PAIR_UNITS}, {_FIX}, said(n, answer) AS (VALUES {", ".join(f"({n}, '{a}')" for n, a in enumerate(FIXTURE_ANSWERS))}),
+mu AS (SELECT qid, question, unit_no, kind, text FROM pu UNION ALL SELECT question_id, question, n, CASE WHEN n % 3 = 2 THEN 'ocr' ELSE 'text' END, answer FROM fix, said WHERE (question_id + n) % 4 <> 0)"""
+
+
+@query(f"""WITH {_MIXED}, n AS (SELECT *, kind = 'ocr' AND {q.noisy('text')} AS noisy FROM mu),
 w AS (SELECT *, bool_or(kind = 'text') OVER (PARTITION BY qid) AS hc, bool_or(noisy) OVER (PARTITION BY qid) AS hn FROM n),
-k AS (SELECT *, bool_or(kind = 'ocr') OVER (PARTITION BY qid) AS ho, {q.overlap('question', 'text')} > 0 AND kind = 'text' AS ov FROM w WHERE NOT (noisy AND hc)),
-a AS (SELECT *, bool_or(ov) OVER (PARTITION BY qid) AS ao FROM k),
-r AS (SELECT *, CASE WHEN NOT ho THEN CASE WHEN hn AND hc THEN 'dropped_noisy_ocr_units' ELSE 'no_ocr_selected' END WHEN NOT hc THEN 'ocr_only' WHEN ao THEN 'clean_unit_has_query_overlap' ELSE 'no_clean_replacement' END AS clean_reason FROM a)
-SELECT qid, unit_no, kind, clean_reason FROM r WHERE {q.intent('question')} = 'general' AND len(list_filter({q.tokens('question', 2)}, lambda t: regexp_matches(t, '\\d'))) = 0 AND (clean_reason <> 'clean_unit_has_query_overlap' OR ov)""")
+k AS (SELECT *, bool_or(kind = 'ocr') OVER (PARTITION BY qid) AS ho, {q.critical('question')} AS terms, kind = 'text' AND {q.n_items('text')} >= coalesce({q.requested('question')}, 2) AS li,
+  kind = 'text' AND {q.overlap('question', 'text')} > 0 AS ov FROM w WHERE NOT (noisy AND hc)),
+c AS (SELECT *, kind = 'text' AND len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains({q.norm('text')}, {q.norm('t')}))) = 0 AS co FROM k),
+a AS (SELECT *, bool_or(li) OVER (PARTITION BY qid) AS al, bool_or(co) OVER (PARTITION BY qid) AS ac, bool_or(ov) OVER (PARTITION BY qid) AS ao FROM c),
+r AS (SELECT *, CASE WHEN NOT ho THEN CASE WHEN hn AND hc THEN 'dropped_noisy_ocr_units' ELSE 'no_ocr_selected' END WHEN NOT hc THEN 'ocr_only'
+  WHEN {q.intent('question')} = 'list' THEN CASE WHEN al THEN 'clean_list_unit_available' ELSE 'no_clean_list_unit' END
+  WHEN ac THEN 'clean_unit_covers_critical_terms' WHEN ao THEN 'clean_unit_has_query_overlap' ELSE 'no_clean_replacement' END AS clean_reason FROM a)
+SELECT qid, unit_no, kind, clean_reason FROM r WHERE CASE clean_reason WHEN 'clean_list_unit_available' THEN li WHEN 'clean_unit_covers_critical_terms' THEN co WHEN 'clean_unit_has_query_overlap' THEN ov ELSE true END""")
 def prefer_clean(spark: SparkSession, folder: str) -> DataFrame:
-    plain = _pair_units(spark, folder).where((tx.intent(F.col("question")) == "general") & (F.size(tx.critical_terms(F.col("question"))) == 0))
-    return units.prefer_clean(plain).select("qid", "unit_no", "kind", "clean_reason")
+    return units.prefer_clean(_mixed_units(spark, folder)).select("qid", "unit_no", "kind", "clean_reason")
 
 
 @query()
@@ -433,13 +484,6 @@ def budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return units.within_budget(_pair_units(spark, folder).withColumn("rank", F.col("unit_no") + 1), 200).select("qid", "rank", "tokens_to_here")
 
 
-@query(f"""WITH {q.PAIRS}, c AS (SELECT conv_id, turn, list_distinct(list_filter({q.tokens('question', 2)}, lambda t: regexp_matches(t, '\\d'))) AS terms, {q.norm(q.space('answer'))} AS a FROM pairs WHERE {q.intent('question')} = 'general')
-SELECT conv_id, turn, CAST(len(list_filter(terms, lambda t: NOT contains(a, t))) AS INTEGER) AS n_missing, len(list_filter(terms, lambda t: NOT contains(a, t))) = 0 AS ok FROM c""")
-def coverage(spark: SparkSession, folder: str) -> DataFrame:
-    p = _pairs(spark, folder).where(tx.intent(F.col("question")) == "general").withColumnRenamed("answer", "final_answer")
-    return units.coverage(p).select("conv_id", "turn", F.size("missing_terms").alias("n_missing"), "ok")
-
-
 @query(f"""WITH {_PAIR_UNITS}, i AS (SELECT qid, 2 AS source_priority, unit_no AS source_pos, unit_no // 4 AS source_chunk_id, text FROM pu UNION ALL SELECT qid, 1, unit_no, unit_no // 4, text FROM pu WHERE unit_no < 2),
 d AS (SELECT *, row_number() OVER (PARTITION BY qid, source_chunk_id, substr({q.canonical('text')}, 1, 160) ORDER BY source_priority, source_pos) AS n FROM i),
 e AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source_priority, source_pos, source_chunk_id) AS evidence_no FROM d WHERE n = 1)

@@ -140,3 +140,37 @@ def noisy(x: str) -> str:
     t = space(x)
     marks = count(t, r"[<>{}\[\]=_/\\|]")
     return f"(length({t}) = 0 OR (length({t}) > 600 AND {noise(t)} > 0.16) OR {noise(t)} >= 0.28 OR (length({t}) > 250 AND {marks}::DOUBLE / greatest(length({t}), 1) > 0.035))"
+
+
+def requested(x: str) -> str:
+    numerals = " ".join(f"WHEN '{w}' THEN {n}" for w, n in lx.NUMERALS.items())
+    digits = rf"nullif(regexp_extract({space(x)}, '(\d+)\s*(?:{lx.COUNTERS})\s*이상', 1), '')"
+    word = rf"regexp_extract({space(x)}, '({'|'.join(lx.NUMERALS)})\s*(?:{lx.COUNTERS})\s*이상', 1)"
+    return f"CAST(coalesce(CAST({digits} AS INTEGER), CASE {word} {numerals} END) AS INTEGER)"
+
+
+def critical(x: str) -> str:
+    literals = ", ".join(f"'{w}'" for w in lx.CRITICAL)
+    return f"list_distinct(list_concat(list_filter({tokens(x, 2)}, lambda t: regexp_matches(t, '\\d')), list_filter([{literals}], lambda t: contains({x}, t))))"
+
+
+def items(x: str) -> str:
+    """Items of a list unit, repeated ones too (see distinct_items)."""
+    return rf"list_filter(list_transform(regexp_split_to_array({list_payload(x)}, '\s*,\s*|，|、'), lambda x: {clean_unit('x')}), lambda x: x NOT IN ('', ',', '，', 'ㆍ', '·') AND {canonical('x')} <> '')"
+
+
+def n_items(x: str) -> str:
+    """Number of distinct items of a list unit."""
+    return f"len(list_distinct(list_transform({items(x)}, lambda x: {canonical('x')})))"
+
+
+def polarity(question: str, text: str) -> str:
+    asked, told = (f"regexp_matches({space(x)}, '{lx.NEGATION}')" for x in (question, text))
+    return f"(CASE WHEN {asked} AND NOT {told} AND regexp_matches({text}, '{lx.POSITIVE_ONLY}') THEN -0.35 WHEN {asked} AND {told} THEN 0.12 ELSE 0.0 END)"
+
+
+def unit_bonus(question: str, text: str) -> str:
+    has = lambda pattern, x: f"CASE WHEN regexp_matches({text}, '{pattern}') THEN {x} ELSE 0.0 END"
+    circled = f"CASE WHEN regexp_matches({text}, '[{lx.CIRCLED}]') AND {list_signal(text)} < 1.5 THEN 0.5 ELSE 0.0 END"
+    return f"""(CASE {intent(question)} WHEN 'list' THEN {list_signal(text)} - {has('https?://', 0.7)} - {circled} WHEN 'procedure' THEN {has(lx.PROCEDURE_WORDS, 1.1)}
+  WHEN 'definition' THEN {has(lx.DEFINITION_WORDS, 0.8)} - {has(lx.DEFINITION_STEPS, 0.4)} WHEN 'availability' THEN {has(lx.AVAILABILITY_WORDS, 0.9)} ELSE 0.0 END)"""
