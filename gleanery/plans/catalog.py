@@ -564,7 +564,7 @@ def debug_block(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def end_to_end(spark: SparkSession, folder: str) -> DataFrame:
-    """Every question answered: plan, hybrid retrieval, merging, reranking, units, seed answers and coverage; no U9, U12, parents or neighbours."""
+    """Every question answered: plan, hybrid retrieval, merging, reranking, units (distinct, clean, chosen by the kind of question), rendering and coverage; no parents or neighbours."""
     from gleanery.plans.engine import answer_questions
 
     return answer_questions(_documents(spark, folder), _vectors(spark, folder), _asked(spark, folder), CONFIG)

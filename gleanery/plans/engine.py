@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import RetrievalConfig
 from gleanery.functions import text as tx
-from gleanery.operators import chunking, evidence, planning, retrieval, units
+from gleanery.operators import chunking, planning, retrieval, units
 
 
 #: Windows of a text, and units of a window, that a unit's number has place for.
@@ -17,7 +17,8 @@ UNIT_PLACES = 10_000_000
 def answer_questions(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
     """One row for each question (qid, query, embedding) with an answer from the chunks (chunk_index, text).
 
-    Returns qid, final_answer, n_units, ok and reason of its coverage. The vector of a question is
+    Returns qid, final_answer, n_units, ok and reason of its coverage. Of a question's best units, the
+    distinct ones are cut to those of clean sources, chosen by the kind of question, and rendered. The vector of a question is
     used for all of its queries. Units are cut from windows of the texts found, so that the limits of
     a unit's length and of units act on windows and every part of a long text can answer.
     """
@@ -48,7 +49,10 @@ def answer_questions(chunks: DataFrame, vectors: DataFrame, questions: DataFrame
         tx.unit_score(F.col("question"), F.col("unit"), F.lit("text"), F.col("rerank_score"), F.col("rrf"), F.col("unit_no")).alias("score"),
     )
     best = retrieval.top_k(scored, ["qid"], [retrieval.score_order("score"), F.col("unit_no")], config.max_answer_units, "place")
-    seeds = evidence.seed_answers(best.withColumn("unit_no", F.col("place").cast("long")).drop("place"))
-    out = asked.select(F.col("question_id").alias("qid"), "question").join(seeds, "qid", "left")
+    best = best.withColumn("unit_no", F.col("place").cast("long")).drop("place")
+    distinct = units.dedupe_units(best, most=config.max_answer_units)
+    chosen = units.choose_units(units.prefer_clean(distinct).drop("clean_reason"))
+    rendered = units.render_answers(chosen.select("qid", "question", "place", "text")).drop("question")
+    out = asked.select(F.col("question_id").alias("qid"), "question").join(rendered, "qid", "left")
     out = out.withColumn("final_answer", F.coalesce("final_answer", F.lit("문서에서 확인되지 않음")))
     return units.coverage(out).select("qid", "final_answer", F.coalesce(F.size("quotes"), F.lit(0)).alias("n_units"), "ok", "reason")
