@@ -24,6 +24,10 @@ only if both are linked with C, and then they are in one component. Every other
 that many differences, so it shares one of the first ones in an order that is the same for all, rare
 ones first (a prefix filter on differences): documents meet only in lists of such differences. Lists that are still long get a centre of their
 own, and the step repeats; pairs of the others are made, filtered by the estimate, and confirmed.
+A pair is made only if z can be large enough: at the first difference that both have, z is at most
+what each has left of added ones, and of lacking ones, and it is at most half of what their numbers
+of differences exceed the bits by in which the parities of their differences in hash bits differ
+(a position and a bitmap filter; neither loses a link).
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ SLICE = 1 << 20
 #: Lists of differences with more documents get a centre of their own, in all turns but the last, which makes all pairs.
 LONG_LIST = 1000
 TURNS = 3
+#: Rounds in which the documents of the other lists are compared with one centre each, before their pairs are made.
+STARS = 2
+#: Words of 64 bits that hold the parities of a document's differences.
+PARITIES = 4
 #: Ids that are broadcast to filter documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -186,7 +194,7 @@ def _fits(na: str, nb: str, la: str, lb: str, percent: int) -> Column:
 
 
 def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every document with the centre of each of its lists: (centre, key, c, s, d, near, n, left, degree).
+    """Every document with the centre of each of its lists: (centre, key, c, s, d, n_added, near, n, left, degree).
 
     d: the differences, those that the centre has last, as more documents lack them than have any of the
     others, each part in one order for all documents; near: whether the two are linked, by their full sets.
@@ -197,7 +205,15 @@ def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.withColumnsRenamed({"key": "centre", "hashes": "hc"}), "centre").join(sets, "key")
     both = both.select("centre", "key", "n", "left", "degree", F.size("hc").cast("long").alias("c"), F.array_except("hc", "hashes").alias("missing"), F.array_except("hashes", "hc").alias("added"))
     both = both.withColumn("s", 100 * F.size("missing").cast("long") + percent * F.size("added").cast("long"))
-    return both.select("centre", "key", "c", "s", F.concat(F.sort_array("added"), F.sort_array("missing")).alias("d"), (F.col("s") <= (100 - percent) * F.col("c")).alias("near"), "n", "left", "degree")
+    return both.select("centre", "key", "c", "s", F.concat(F.sort_array("added"), F.sort_array("missing")).alias("d"), F.size("added").alias("n_added"), (F.col("s") <= (100 - percent) * F.col("c")).alias("near"), "n", "left", "degree")
+
+
+def _parities(values: Column) -> list[Column]:
+    """For each of PARITIES * 64 classes of values, whether an odd number of them is in it, as words of bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    word = lambda x: F.shiftright(x, 6).bitwiseAND(PARITIES - 1)
+    flip = lambda w: lambda acc, x: F.when(word(x) == w, acc.bitwiseXOR(bit(x))).otherwise(acc)
+    return [F.aggregate(values, F.lit(0).cast("long"), flip(w)).alias(f"p{w}") for w in range(PARITIES)]
 
 
 def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -212,18 +228,47 @@ def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     shared = lambda least: F.greatest(F.lit(1), F.ceil((F.col("s") + F.col(least) - (100 - percent) * F.col("c")) / (100 + percent)))
     reach = lambda least: F.when(F.col(least).isNull(), 0).otherwise(F.size("d") - shared(least) + 1).cast("int")
     rows = rows.withColumn("far", reach("least_far")).withColumn("wide", F.when(F.col("near") | (F.col("component") == F.col("own")), 0).otherwise(reach("least_near"))).where("far > 0 OR wide > 0")
-    each = rows.select("centre", "key", "near", "component", "far", "wide", "n", "left", "degree", F.posexplode(F.slice("d", F.lit(1), F.greatest("far", "wide"))).alias("place", "element"))
-    each = each.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", (F.col("place") < F.col("far")).alias("far"), (F.col("place") < F.col("wide")).alias("wide"), "n", "left", "degree")
+    parities = [f"p{w}" for w in range(PARITIES)]
+    rows = rows.select("*", F.size("d").alias("nd"), *_parities(F.col("d")))
+    each = rows.select("centre", "key", "near", "component", "far", "wide", "n", "left", "degree", "c", "s", "nd", "n_added", *parities, F.posexplode(F.slice("d", F.lit(1), F.greatest("far", "wide"))).alias("place", "element"))
+    # What is left of the added and of the lacking ones from this difference on, itself included.
+    ahead = [F.greatest(F.col("n_added") - F.col("place"), F.lit(0)).alias("added"), (F.col("nd") - F.greatest("place", "n_added")).alias("missing")]
+    each = each.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", (F.col("place") < F.col("far")).alias("far"), (F.col("place") < F.col("wide")).alias("wide"), "n", "left", "degree", "c", "s", "nd", *ahead, *parities)
     several = each.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value")
     return each.join(several, "value", "left_semi")
 
 
+def _met(lists: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of two tables of lists of rare differences (columns with _a and _b): in different components, and possibly linked."""
+    parities = [f"p{w}" for w in range(PARITIES)]
+    columns = ("key", "component", "near", "far", "wide", "n", "left", "c", "s", "nd", "added", "missing", *parities)
+    side = lambda rows, x: rows.select("value", *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    meet = F.when(F.col("near_a") == F.col("near_b"), F.col("far_a") & F.col("far_b") & ~F.col("near_a")).when(F.col("near_a"), F.col("far_a") & F.col("wide_b")).otherwise(F.col("wide_a") & F.col("far_b"))
+    # Shared differences that the pair needs, and two bounds of those that it can have.
+    needed = F.col("s_a") + F.col("s_b") - (100 - percent) * F.col("c_a")
+    ahead = F.least("added_a", "added_b") + F.least("missing_a", "missing_b")
+    apart_bits = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in parities), F.lit(0))
+    can = (needed <= (100 + percent) * ahead) & (2 * needed <= (100 + percent) * (F.col("nd_a") + F.col("nd_b") - apart_bits))
+    both = side(lists, "a").join(side(others, "b"), "value")
+    return both.where((F.col("component_a") != F.col("component_b")) & meet & can & _fits("n_a", "n_b", "left_a", "left_b", percent))
+
+
+def _stars_of(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
+    """At most one pair (a, b) for each document b of lists of rare differences, with the centre that it meets in most lists.
+
+    A list's centre is the document in most of the lists. Near copies of each other that are far from the
+    centre of the lists before come into one component by these pairs, and need no others.
+    """
+    at = lists.drop("degree").join(lists.groupBy("key").agg(F.count(F.lit(1)).alias("degree")), "key")
+    centre = at.groupBy("value").agg(F.max(F.struct("degree", (-F.col("key")).alias("key"))).alias("most")).select("value", (-F.col("most.key")).alias("key"))
+    met = _met(lists.join(centre, ["value", "key"]), lists, percent).groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy(F.col("key_b").alias("b")).agg(F.max(F.struct("n", (-F.col("key_a")).alias("a"))).alias("best"))
+    return _estimated(best.select((-F.col("best.a")).alias("a"), "b"), heads, k)
+
+
 def _pairs_of(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs (a, b) of lists of rare differences: in different components, possibly linked, and with a high estimate."""
-    side = lambda x: lists.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "component", "near", "far", "wide", "n", "left")])
-    apart = (F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b"))
-    meet = F.when(F.col("near_a") == F.col("near_b"), F.col("far_a") & F.col("far_b") & ~F.col("near_a")).when(F.col("near_a"), F.col("far_a") & F.col("wide_b")).otherwise(F.col("wide_a") & F.col("far_b"))
-    made = side("a").join(side("b"), "value").where(apart & meet & _fits("n_a", "n_b", "left_a", "left_b", percent))
+    made = _met(lists, lists, percent).where("key_a < key_b")
     return _estimated(made.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), heads, k)
 
 
@@ -241,7 +286,10 @@ def _remaining_links(lists: DataFrame, parts: DataFrame, heads: DataFrame, docs:
         again = long is not None and long.limit(1).count() > 0
         short = rare.join(long, "value", "left_anti") if again else rare
         links = differences.where("near").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-        parts = add_links(parts, links.unionByName(_confirmed(_pairs_of(short, heads, percent, k), sets, percent)))
+        for _ in range(STARS):
+            parts = add_links(parts, links.unionByName(_confirmed(_stars_of(short, heads, percent, k), sets, percent)))
+            links, short = links.limit(0), cut(_placed(short, parts))
+        parts = add_links(parts, _confirmed(_pairs_of(short, heads, percent, k), sets, percent))
         if not again:
             break
         lists = cut(_placed(rare.join(long, "value", "left_semi"), parts))
