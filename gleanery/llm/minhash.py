@@ -216,7 +216,7 @@ def _parities(values: Column) -> list[Column]:
     return [F.aggregate(values, F.lit(0).cast("long"), flip(w)).alias(f"p{w}") for w in range(PARITIES)]
 
 
-def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _rare(differences: DataFrame, parts: DataFrame, percent: int, bounds: bool) -> DataFrame:
     """Lists (value, key, ...) of the differences that a document must share one of with any partner still to be found.
 
     far and wide: a partner may be one that is not linked with the centre, or is; a linked one has only partners that are not.
@@ -228,12 +228,14 @@ def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     shared = lambda least: F.greatest(F.lit(1), F.ceil((F.col("s") + F.col(least) - (100 - percent) * F.col("c")) / (100 + percent)))
     reach = lambda least: F.when(F.col(least).isNull(), 0).otherwise(F.size("d") - shared(least) + 1).cast("int")
     rows = rows.withColumn("far", reach("least_far")).withColumn("wide", F.when(F.col("near") | (F.col("component") == F.col("own")), 0).otherwise(reach("least_near"))).where("far > 0 OR wide > 0")
-    parities = [f"p{w}" for w in range(PARITIES)]
-    rows = rows.select("*", F.size("d").alias("nd"), *_parities(F.col("d")))
-    each = rows.select("centre", "key", "near", "component", "far", "wide", "n", "left", "degree", "c", "s", "nd", "n_added", *parities, F.posexplode(F.slice("d", F.lit(1), F.greatest("far", "wide"))).alias("place", "element"))
+    parities = [f"p{w}" for w in range(PARITIES)] if bounds else []
+    own = ["c", "s", "nd", "n_added", *parities] if bounds else []
+    rows = rows.select("*", F.size("d").alias("nd"), *_parities(F.col("d"))) if bounds else rows
+    each = rows.select("centre", "key", "near", "component", "far", "wide", "n", "left", "degree", *own, F.posexplode(F.slice("d", F.lit(1), F.greatest("far", "wide"))).alias("place", "element"))
     # What is left of the added and of the lacking ones from this difference on, itself included.
     ahead = [F.greatest(F.col("n_added") - F.col("place"), F.lit(0)).alias("added"), (F.col("nd") - F.greatest("place", "n_added")).alias("missing")]
-    each = each.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", (F.col("place") < F.col("far")).alias("far"), (F.col("place") < F.col("wide")).alias("wide"), "n", "left", "degree", "c", "s", "nd", *ahead, *parities)
+    own = ["c", "s", "nd", *ahead, *parities] if bounds else []
+    each = each.select(F.xxhash64("centre", "element").alias("value"), "key", "component", "near", (F.col("place") < F.col("far")).alias("far"), (F.col("place") < F.col("wide")).alias("wide"), "n", "left", "degree", *own)
     several = each.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value")
     return each.join(several, "value", "left_semi")
 
@@ -241,7 +243,8 @@ def _rare(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 def _met(lists: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """Pairs of rows of two tables of lists of rare differences (columns with _a and _b): in different components, and possibly linked."""
     parities = [f"p{w}" for w in range(PARITIES)]
-    columns = ("key", "component", "near", "far", "wide", "n", "left", "c", "s", "nd", "added", "missing", *parities)
+    bounds = "nd" in lists.columns
+    columns = ("key", "component", "near", "far", "wide", "n", "left", *(("c", "s", "nd", "added", "missing", *parities) if bounds else ()))
     side = lambda rows, x: rows.select("value", *[F.col(c).alias(f"{c}_{x}") for c in columns])
     meet = F.when(F.col("near_a") == F.col("near_b"), F.col("far_a") & F.col("far_b") & ~F.col("near_a")).when(F.col("near_a"), F.col("far_a") & F.col("wide_b")).otherwise(F.col("wide_a") & F.col("far_b"))
     # Shared differences that the pair needs, and two bounds of those that it can have.
@@ -250,7 +253,7 @@ def _met(lists: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     apart_bits = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in parities), F.lit(0))
     can = (needed <= (100 + percent) * ahead) & (2 * needed <= (100 + percent) * (F.col("nd_a") + F.col("nd_b") - apart_bits))
     both = side(lists, "a").join(side(others, "b"), "value")
-    return both.where((F.col("component_a") != F.col("component_b")) & meet & can & _fits("n_a", "n_b", "left_a", "left_b", percent))
+    return both.where((F.col("component_a") != F.col("component_b")) & meet & (can if bounds else F.lit(True)) & _fits("n_a", "n_b", "left_a", "left_b", percent))
 
 
 def _stars_of(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataFrame:
@@ -272,7 +275,7 @@ def _pairs_of(lists: DataFrame, heads: DataFrame, percent: int, k: int) -> DataF
     return _estimated(made.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), heads, k)
 
 
-def _remaining_links(lists: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+def _remaining_links(lists: DataFrame, parts: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, k: int, rounds: int) -> DataFrame:
     """The components once all links between documents of one list are in them."""
     placed = cut(_placed(lists, parts))
     ids = placed.select("key").distinct()
@@ -280,23 +283,23 @@ def _remaining_links(lists: DataFrame, parts: DataFrame, heads: DataFrame, docs:
     lists = cut(_placed(_linkable(placed, sets, percent), parts))
     for turn in range(TURNS):
         differences = cut(_differences(lists, sets, percent))
-        rare = cut(_rare(differences, parts, percent))
+        rare = cut(_rare(differences, parts, percent, rounds > 0))
         sizes = rare.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
         long = cut(sizes.where(F.col("size") > LONG_LIST).select("value")) if turn < TURNS - 1 else None
         again = long is not None and long.limit(1).count() > 0
         short = rare.join(long, "value", "left_anti") if again else rare
         links = differences.where("near").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-        for _ in range(STARS):
+        for _ in range(rounds):
             parts = add_links(parts, links.unionByName(_confirmed(_stars_of(short, heads, percent, k), sets, percent)))
             links, short = links.limit(0), cut(_placed(short, parts))
-        parts = add_links(parts, _confirmed(_pairs_of(short, heads, percent, k), sets, percent))
+        parts = add_links(parts, links.unionByName(_confirmed(_pairs_of(short, heads, percent, k), sets, percent)))
         if not again:
             break
         lists = cut(_placed(rare.join(long, "value", "left_semi"), parts))
     return parts
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH, rounds: int = STARS) -> DataFrame:
     """Classes of documents linked by 100 * |intersection| >= percent * |union| of their shingle sets.
 
     Returns key, n_shingles, component_id (smallest key reachable by links, itself included), kept
@@ -304,6 +307,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nothing. Keys are integers (anything else counts as null); a row without a key is linked with nothing,
     has no component, and is kept. Repeated rows have equal sets and so one component; a
     key with different texts has one row for each, with the class of that text.
+    rounds: how often documents are compared with one centre each before pairs are made; with 0, and
+    without the bounds on z, lists take less disk and make more pairs. The result is the same.
     Other columns are ignored, an empty table gives no rows. The sketches are written to the checkpoint folder.
     """
     docs = docs.select(F.col(f"`{key}`").try_cast("long").alias("key"), F.col(f"`{text}`").alias("text"))

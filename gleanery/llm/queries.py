@@ -26,7 +26,7 @@ def op2_pigeonhole_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85, rounds=0)
 
 
 def op4_itq_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
