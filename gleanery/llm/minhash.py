@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     ids = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     parts = connected_components(_confirmed(stars, full_sets(with_ids(docs, ids, "key")), percent))
     # Then all other links within lists that have documents of several components.
-    parts = _remaining_links(shared, parts, heads, docs, percent, k)
+    parts = _remaining_links(shared, parts, heads, docs, percent, k, rounds)
     # Every set's component, and then every row's.
     whole = heads.select("d1", "d2", "n_shingles", "key").join(parts.withColumnRenamed("id", "key"), "key", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "key").alias("component"))
     out = rows.drop("sketch").join(whole, ["d1", "d2", "n_shingles"], "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"))
