@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Seconds between two sweeps of the driver.
+SWEEP_S = 3.0
 
 
 def _checkpoints(spark: SparkSession) -> str:
@@ -36,9 +39,25 @@ def _checkpoints(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from the shared checkpoint folder."""
     _checkpoints(df.sparkSession)
+    sweep(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_SWEPT = [float("-inf")]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collects the driver's garbage, at most every SWEEP_S seconds.
+
+    Spark removes shuffle files, broadcasts and checkpoints from the disks and memory of all machines once
+    the driver's garbage that names them is collected, which else happens only when its heap is full.
+    """
+    if time.monotonic() - _SWEPT[0] >= SWEEP_S:
+        release()
+        spark.sparkContext._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for written tables."""
     return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import resident, slices, texts
+from gleanery.llm.common import resident, slices, sweep, texts
 
 DECAY = 0.6
 LENGTH, GAPS, WIDTH, STEP = 4, 2, 24, 12
@@ -304,6 +304,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
     """
     spark = docs.sparkSession
     labelled = sample_labelled(docs, labels, learn_from, label_key or key, text, label, sample_rows, sample_bytes)
+    sweep(spark)
     machine = train(labelled, clean_units=clean_units, hard_units=hard_units)
     del labelled
     shared = spark.sparkContext.broadcast(machine)

@@ -1,6 +1,8 @@
 """Operators on pairs: near copies, vectors, lines and benchmark items."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, itq, linededup, minhash
+from gleanery.llm import common, decontam, itq, linededup, minhash
 from gleanery.llm import graph
 from gleanery.llm.graph import add_links, connected_components
 
@@ -233,3 +235,17 @@ def test_matches(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({k for k, _, _ in want})
     assert decontam.benchmark_matches(docs, table.limit(0)).count() == 0
     assert decontam.benchmark_matches(docs.limit(0), table).count() == 0
+
+
+def test_shuffle_files_go_with_the_tables_behind_a_cut(spark, monkeypatch):
+    monkeypatch.setattr(common, "SWEEP_S", 0.0)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_", manager.getAllFiles().mkString(" ")))
+    common.sweep(spark)
+    time.sleep(2)
+    before, rows = shuffles(), spark.range(100)
+    for i in range(16):
+        rows = common.cut(rows.withColumn("id", F.col("id") + i).repartition(3, "id"))
+    common.sweep(spark)
+    time.sleep(2)
+    assert rows.count() == 100 and len(shuffles() - before) <= 6
