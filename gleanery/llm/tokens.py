@@ -7,7 +7,8 @@ distinct pre-tokens are encoded once, and are joined in memory to the pre-token
 of each document. Nothing is shuffled, and the number of tokens is summed without ids.
 
 The fast cut is used for characters below U+0180, where it is exact (case folding there is one
-to one, and composed forms stay as they are). A white-space-delimited word with any other
+to one, and composed forms stay as they are); its pre-tokens go to the library's model alone, without
+its normalizer and cuts. A white-space-delimited word with any other
 character, or with the beginning of a special string, goes through the library unchanged.
 """
 
@@ -30,6 +31,9 @@ _DIGITS = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \x85\xa0"
 _PRE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 _BREAK = re.compile("[ \t-\r]+")
+#: The character that byte-level pieces have for each byte: its own where that can be printed, else one from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 #: U+0130 folds to two characters, of which one is above the range; "<|" begins the special strings.
 _UNSURE = re.compile("[^\x00-įı-ſ]|<\\|")
 
@@ -46,14 +50,25 @@ class PreTokenCodec:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        self._pieces = self._library.model.tokenize
+        # Pre-tokens of the fast cut are ready for the model, if the library does nothing else to any of their characters.
+        known = [x for c in range(0x180) if not _UNSURE.search(chr(c)) for x in _PRE.findall(chr(c).lower())]
+        self._direct = all(self._ids(x) == self._model_ids(x) for x in known)
         self._value = value
         self._most = most
         self._held = 0
         self._young: dict[str, object] = {}
         self._old: dict[str, object] = {}
 
+    def _ids(self, word: str) -> list[int]:
+        return self._library.encode(word.removeprefix(" "), add_special_tokens=False).ids
+
+    def _model_ids(self, word: str) -> list[int]:
+        plain = word.isascii() and word.isprintable()
+        return [x.id for x in self._pieces(word if plain else word.encode().decode("latin-1").translate(_BYTES))]
+
     def _encode(self, word: str) -> object:
-        return self._value(self._library.encode(word.removeprefix(" "), add_special_tokens=False).ids)
+        return self._value(self._model_ids(word) if self._direct and word[0] != " " else self._ids(word))
 
     def learn(self, words) -> dict[str, object]:
         """A dictionary with (at least) all of ``words``."""

@@ -49,6 +49,15 @@ def test_every_latin_character_and_special_strings():
     assert ids_of(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_pre_tokens_of_the_fast_cut_need_the_model_alone():
+    codec = tokens.PreTokenCodec(VOCABULARY, list)
+    words = {"straße", "don", "'t", "…", "\x01", "\x7f", "ſ", "7", "?!", *tokens._PRE.findall("l'été à noël, ¡qué año! §5 ~{}")} - {"…"}
+    want = {w: codec._library.encode(w, add_special_tokens=False).ids for w in words}
+    codec._library = None
+    known = codec.learn(words)
+    assert {w: known[w] for w in words} == want
+
+
 def test_token_counts_of_odd_rows(spark):
     docs = odd_rows(spark)
     got = tokens.token_counts(docs, VOCABULARY).collect()
