@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +52,29 @@ def sweep(spark: SparkSession) -> None:
 
     Spark removes shuffle files, broadcasts and checkpoints from the disks and memory of all machines once
     the driver's garbage that names them is collected, which else happens only when its heap is full.
+    What the JVM has freed outside its heap (compilers, plans' code, buffers) goes back to the machine too.
     """
     if time.monotonic() - _SWEPT[0] >= SWEEP_S:
         release()
         spark.sparkContext._jvm.System.gc()
+        trim_driver(spark)
         _SWEPT[0] = time.monotonic()
 
 
+def trim_driver(spark: SparkSession) -> str:
+    """Has the driver's JVM give free memory outside its heap back, as glibc keeps it; what the JVM says, empty if it can't."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, values = new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    try:  # the server's own class is closed to reflection, its interface is not
+        return jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+    except Py4JJavaError:  # before Java 17.0.9, or not HotSpot
+        return ""
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for written tables."""
     return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"

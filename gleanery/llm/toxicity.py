@@ -14,6 +14,7 @@ subsequence, so a new unit is scored exactly without visiting the landmarks.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import uuid
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import resident, slices, sweep, texts
+from gleanery.llm.common import release, resident, slices, sweep, texts
 
 DECAY = 0.6
 LENGTH, GAPS, WIDTH, STEP = 4, 2, 24, 12
@@ -126,6 +127,16 @@ class SubsequenceMachine:
     def __init__(self, weights: np.ndarray, bias: float, curve: tuple[float, float, float] = (4.0, 0.0, 0.0)):
         self.weights, self.bias, self.curve = weights, bias, np.asarray(curve)
 
+    def __getstate__(self) -> tuple:
+        """Most weights are 0: only the others are sent."""
+        places = np.flatnonzero(self.weights).astype(np.int32)
+        return len(self.weights), places, self.weights[places], self.bias, self.curve
+
+    def __setstate__(self, state: tuple) -> None:
+        size, places, values, self.bias, self.curve = state
+        self.weights = np.zeros(size, dtype=np.float32)
+        self.weights[places] = values
+
     def margins(self, units: list[str]) -> np.ndarray:
         """Margin of each unit; the largest of its windows."""
         if not units:
@@ -266,7 +277,7 @@ def train(labelled: list[tuple[list[str], int]], landmarks: int = 96, passes: in
     return machine
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str, sample_rows: int, sample_bytes: int = 16 << 20) -> list[tuple[list[str], int]]:
+def labelled_bags(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str, sample_rows: int, sample_bytes: int = 16 << 20) -> DataFrame:
     """(bag of windows, label) of labelled texts, chosen by the key's hash among the rows for which ``learn_from`` holds.
 
     A key's label is 1 if any of its labels is. Of each label, about sample_rows texts are expected,
@@ -284,7 +295,27 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
             yield pa.RecordBatch.from_arrays([pa.array([bag_of(x) for x in texts(part.column("text"))], pa.list_(pa.string())), part.column("label").cast(pa.int32())], ["bag", "label"])
 
     found = body.join(F.broadcast(ids), "key").select("text", "label")  # ids are bounded by the sample
-    return [(r["bag"], r["label"]) for r in found.mapInArrow(bags, "bag array<string>, label int").collect()]  # bounded by the sample
+    return found.mapInArrow(bags, "bag array<string>, label int")
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str, sample_rows: int, sample_bytes: int = 16 << 20) -> list[tuple[list[str], int]]:
+    """The rows of labelled_bags, on the driver."""
+    return [(r["bag"], r["label"]) for r in labelled_bags(docs, labels, learn_from, key, text, label, sample_rows, sample_bytes).collect()]  # bounded by the sample
+
+
+def trained(sample: DataFrame, clean_units: int, hard_units: int) -> SubsequenceMachine:
+    """What ``train`` makes of a sample (bag, label): trained in one task, as the sample is bounded, so that the driver holds only the machine."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
+        labelled = [row for batch in batches for row in zip(batch.column("bag").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+        machine = pickle.dumps(train(labelled, clean_units=clean_units, hard_units=hard_units))
+        del labelled
+        release()
+        yield pa.RecordBatch.from_pydict({"machine": pa.array([machine], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(learn, "machine binary").collect()
+    return pickle.loads(found[0]["machine"]) if found else train([])  # an empty sample may have no task
 
 
 #: Units whose margins a Python worker keeps.
@@ -303,10 +334,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, key:
     label_key: the column of docs and labels that joins them, if it is not key.
     """
     spark = docs.sparkSession
-    labelled = sample_labelled(docs, labels, learn_from, label_key or key, text, label, sample_rows, sample_bytes)
+    machine = trained(labelled_bags(docs, labels, learn_from, label_key or key, text, label, sample_rows, sample_bytes), clean_units, hard_units)
     sweep(spark)
-    machine = train(labelled, clean_units=clean_units, hard_units=hard_units)
-    del labelled
     shared = spark.sparkContext.broadcast(machine)
     name = uuid.uuid4().hex
 

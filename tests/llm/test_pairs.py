@@ -237,6 +237,15 @@ def test_matches(spark):
     assert decontam.benchmark_matches(docs.limit(0), table).count() == 0
 
 
+def test_a_sweep_trims_the_drivers_jvm(spark, monkeypatch):
+    said = []
+    trim = common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: said.append(trim(s)))
+    monkeypatch.setattr(common, "SWEEP_S", 0.0)
+    common.cut(spark.range(10))
+    assert len(said) == 1 and said[0].startswith("Trim native heap")
+
+
 def test_shuffle_files_go_with_the_tables_behind_a_cut(spark, monkeypatch):
     monkeypatch.setattr(common, "SWEEP_S", 0.0)
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()

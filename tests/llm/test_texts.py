@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import os
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -211,6 +213,30 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert toxicity.score_toxicity(docs, labels, F.lit(True)).columns == ["doc_id", "score", "predicted"]
 
 
+def test_training_is_not_done_on_the_driver(spark, monkeypatch):
+    """The driver gets the machine that train makes of the sample, without training or gathering texts itself."""
+    driver, plain_train = os.getpid(), toxicity.train
+    texts = [f"river harbor market window number {i}" + (" blorgface" if i % 3 == 0 else "") for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    sampled = lambda rows: toxicity.labelled_bags(docs, rows, F.lit(True), "doc_id", "text", "toxic", 1000)
+    want = plain_train([(toxicity.bag_of(t), int(i % 3 == 0)) for i, t in enumerate(texts)])
+
+    def train(*args, **options):
+        assert os.getpid() != driver
+        return plain_train(*args, **options)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(toxicity, "train", train)
+        machine = toxicity.trained(sampled(labels), 4000, 2000)
+        scored = toxicity.score_toxicity(docs, labels, F.lit(True))
+    assert np.allclose(machine.weights, want.weights, atol=1e-5) and np.allclose([machine.bias, *machine.curve], [want.bias, *want.curve], atol=1e-5)
+    assert {r.doc_id for r in scored.where("predicted = 1").collect()} == {i for i in range(90) if i % 3 == 0}
+    assert not toxicity.trained(sampled(labels.limit(0)), 4000, 2000).weights.any()
+    sent = pickle.dumps(machine)
+    assert len(sent) < 1 << 20 and np.array_equal(pickle.loads(sent).weights, machine.weights)
+
+
 def test_labels_are_learned_from_the_given_rows_only(spark):
     """Held-out labels change nothing, not even which rows are sampled; a key with both labels is toxic."""
     rows = [(i, f"text number {chr(97 + i % 26) * 3} of many", "en") for i in range(400)]
